@@ -120,7 +120,8 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", rules: Qual
     measured = measure(docs, text)
     measured = stored(measured.drop(*drop).withColumn("base_failed", base).withColumn("doc_failed", F.col("base_failed") | soft))
     hosts = host_rates(measured.select(F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit("")).alias("_host"), "doc_failed"))
-    hosts = hosts.select("_host", "host_rate", (F.col("host_rate") <= rules.max_host_rate).alias("host_ok"))
+    # Stored, so that its size is known: a small table is broadcast without dealing the documents out by host.
+    hosts = stored(hosts.select("_host", "host_rate", (F.col("host_rate") <= rules.max_host_rate).alias("host_ok")))
     return (
         measured.withColumn("_host", F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit("")))
         .join(hosts, "_host", "left")
