@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm import linededup, quality, simhash
+from cloakframe.llm import decontaminate, linededup, quality, simhash
 from cloakframe.llm.common import table
 
 
@@ -34,4 +34,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES = {"op10_simhash": op10_simhash, "op3_line_dedup": op3_line_dedup, "op9_quality_rules": op9_quality_rules}
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "score", "end_word")
+
+
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op10_simhash": op10_simhash, "op3_line_dedup": op3_line_dedup, "op9_quality_rules": op9_quality_rules}
