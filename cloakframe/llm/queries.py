@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm import decontaminate, linededup, mixing, quality, simhash
+from cloakframe.llm import decontaminate, langid, linededup, mixing, quality, simhash
 from cloakframe.llm.common import table
 
 
@@ -44,4 +44,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, drop=("text",))
 
 
-QUERIES = {"op4_mixing": op4_mixing, "op1_decontaminate": op1_decontaminate, "op10_simhash": op10_simhash, "op3_line_dedup": op3_line_dedup, "op9_quality_rules": op9_quality_rules}
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+    profiles = langid.learn(docs.where(~F.col("held_out")))
+    return langid.identify(docs.select("doc_id", "held_out", "text"), profiles).select("doc_id", "held_out", "lang_pred", "score")
+
+
+QUERIES = {"op2_language_id": op2_language_id, "op4_mixing": op4_mixing, "op1_decontaminate": op1_decontaminate, "op10_simhash": op10_simhash, "op3_line_dedup": op3_line_dedup, "op9_quality_rules": op9_quality_rules}
