@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm import chatformat, decontaminate, langid, linededup, mixing, quality, simhash
+from cloakframe.llm import chatformat, decontaminate, langid, linededup, mixing, quality, secrets, simhash
 from cloakframe.llm.common import table, text_bytes
 
 
@@ -79,4 +79,13 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("conv", "formatted", "loss").mapInArrow(read, schema)
 
 
-QUERIES = {"op5_chat_format": op5_chat_format, "op2_language_id": op2_language_id, "op4_mixing": op4_mixing, "op1_decontaminate": op1_decontaminate, "op10_simhash": op10_simhash, "op3_line_dedup": op3_line_dedup, "op9_quality_rules": op9_quality_rules}
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.find_secrets(docs, secrets.train(docs))
+    base = F.filter("secrets", lambda s: s["kind"] != "markov")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    of = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
+
+
+QUERIES = {"op8_secret_scan": op8_secret_scan, "op5_chat_format": op5_chat_format, "op2_language_id": op2_language_id, "op4_mixing": op4_mixing, "op1_decontaminate": op1_decontaminate, "op10_simhash": op10_simhash, "op3_line_dedup": op3_line_dedup, "op9_quality_rules": op9_quality_rules}
