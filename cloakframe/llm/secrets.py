@@ -162,4 +162,4 @@ def find_secrets(docs: DataFrame, table: np.ndarray, text: str = "text", rules:
             spans = [[{"start": s, "end": e, "kind": KINDS[k]} for s, k, e in scan(v.as_py(), model.value, rules.threshold)] for v in batch.column(where)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, kind)], [*names, "secrets"])
 
-    return docs.mapInArrow(find, StructType(list(docs.schema.fields)).add("secrets", "array<struct<start:int,end:int,kind:string>>"))
+    return docs.mapInArrow(find, StructType(docs.schema.fields + StructType.fromDDL("secrets array<struct<start:int,end:int,kind:string>>").fields))
