@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm import chatformat, decontaminate, langid, linededup, mixing, quality, secrets, simhash
+from cloakframe.llm import chatformat, decontaminate, htmltext, langid, linededup, mixing, quality, secrets, simhash
 from cloakframe.llm.common import table, text_bytes
 
 
@@ -88,4 +88,8 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
 
 
-QUERIES = {"op8_secret_scan": op8_secret_scan, "op5_chat_format": op5_chat_format, "op2_language_id": op2_language_id, "op4_mixing": op4_mixing, "op1_decontaminate": op1_decontaminate, "op10_simhash": op10_simhash, "op3_line_dedup": op3_line_dedup, "op9_quality_rules": op9_quality_rules}
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+QUERIES = {"op7_html_extract": op7_html_extract, "op8_secret_scan": op8_secret_scan, "op5_chat_format": op5_chat_format, "op2_language_id": op2_language_id, "op4_mixing": op4_mixing, "op1_decontaminate": op1_decontaminate, "op10_simhash": op10_simhash, "op3_line_dedup": op3_line_dedup, "op9_quality_rules": op9_quality_rules}
