@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm import chatformat, decontaminate, htmltext, langid, linededup, mixing, quality, secrets, simhash
+from cloakframe.llm import chatformat, decontaminate, hmm, htmltext, langid, linededup, mixing, quality, secrets, simhash
 from cloakframe.llm.common import table, text_bytes
 
 
@@ -92,4 +92,10 @@ def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
 
-QUERIES = {"op7_html_extract": op7_html_extract, "op8_secret_scan": op8_secret_scan, "op5_chat_format": op5_chat_format, "op2_language_id": op2_language_id, "op4_mixing": op4_mixing, "op1_decontaminate": op1_decontaminate, "op10_simhash": op10_simhash, "op3_line_dedup": op3_line_dedup, "op9_quality_rules": op9_quality_rules}
+def op6_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+    return hmm.score(docs, hmm.learn(docs.where(~F.col("held_out"))))
+
+
+QUERIES = {"op6_hmm_score": op6_hmm_score, "op7_html_extract": op7_html_extract, "op8_secret_scan": op8_secret_scan, "op5_chat_format": op5_chat_format, "op2_language_id": op2_language_id, "op4_mixing": op4_mixing, "op1_decontaminate": op1_decontaminate, "op10_simhash": op10_simhash, "op3_line_dedup": op3_line_dedup, "op9_quality_rules": op9_quality_rules}
