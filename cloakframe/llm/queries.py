@@ -99,3 +99,37 @@ def op6_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_hmm_score": op6_hmm_score, "op7_html_extract": op7_html_extract, "op8_secret_scan": op8_secret_scan, "op5_chat_format": op5_chat_format, "op2_language_id": op2_language_id, "op4_mixing": op4_mixing, "op1_decontaminate": op1_decontaminate, "op10_simhash": op10_simhash, "op3_line_dedup": op3_line_dedup, "op9_quality_rules": op9_quality_rules}
+
+WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+#: SQL lower-cases A-Z alone with a translation.
+KEYED = f"translate(trim(line, {WHITE}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SQL_OP3 = f"""WITH lines AS (SELECT doc_id, i, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
+keyed AS (SELECT doc_id, i, line, {KEYED} AS k FROM lines),
+held AS (SELECT k, min(doc_id) AS first FROM keyed WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) >= 2),
+marked AS (SELECT keyed.doc_id, i, line, first IS NOT NULL AND first < keyed.doc_id AS gone FROM keyed LEFT JOIN held USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM marked GROUP BY doc_id"""
+ESCAPED = "replace(replace({}, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|')"
+SQL_OP5 = f"""WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+UNION ALL SELECT -1, 0, 'user', '{CONTROL}' UNION ALL SELECT -1, 1, 'assistant', '{CONTROL}')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+CAST(sum(length('<|im_start|>') + length(replace({ESCAPED.format("role")}, chr(10), chr(92) || 'n')) + 1 + length({ESCAPED.format("text")}) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id"""
+SQL_OP9 = f"""WITH docs AS (SELECT doc_id, source, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
+grams AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM docs WHERE len(w) >= 8)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM grams) WHERE c >= 2),
+covered AS (SELECT doc_id, CAST(sum(least(8, i - coalesce(last, -8))) AS BIGINT) AS n FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS last FROM twice) GROUP BY doc_id),
+measured AS (SELECT doc_id, coalesce('=' || source, '') AS host, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, list_filter(string_split(text, chr(10)), lambda x: length(trim(x, {WHITE})) > 0) AS ls,
+coalesce(covered.n, 0) AS n_repeat_words FROM docs LEFT JOIN covered USING (doc_id)),
+ruled AS (SELECT *, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM measured),
+failed AS (SELECT *, base_failed OR 100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 50 * len(ls) AS doc_failed FROM ruled),
+hosts AS (SELECT host, count(*) AS n, count(*) FILTER (WHERE doc_failed) AS f FROM failed GROUP BY host),
+prior AS (SELECT avg(f / n) AS m, coalesce(var_pop(f / n), 0) AS v FROM hosts),
+weight AS (SELECT m, greatest(1.0, least(1000.0, CASE WHEN v <= 0 THEN 1000.0 ELSE m * (1 - m) / v - 1 END)) AS w FROM prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT doc_failed AND (f + m * w) / (n + w) <= 0.5 AS kept
+FROM failed JOIN hosts USING (host), weight"""
+ORACLES = {"op3_line_dedup": SQL_OP3, "op5_chat_format": SQL_OP5, "op9_quality_rules": SQL_OP9}
