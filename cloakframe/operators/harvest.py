@@ -9,6 +9,7 @@ from cloakframe.functions import policy
 from cloakframe.functions.detectors import DIN_LABEL
 from cloakframe.functions.lexicon import Lexicon
 from cloakframe.functions.policy import LEXICON
+from cloakframe.operators.barrier import barrier
 
 # Cues that name a person or a promoter outright.
 NAME = r"((?:[A-Z][\w.'’\-]*\s+){1,3}[A-Z][\w.'’\-]*)"
@@ -107,7 +108,8 @@ def table_dins(blocks: DataFrame, people: DataFrame) -> DataFrame:
 def harvest(blocks: DataFrame, ner: DataFrame | None = None, tables: DataFrame | None = None, lexicon: Lexicon = LEXICON) -> DataFrame:
     """The gazetteer (doc_id, kind, term) of blocks (doc_id, block_index, text): kinds 'person', 'org', 'din' and 'glossary'.
 
-    Everything is kept by document, so many documents are learned at once.
+    Everything is kept by document, so many documents are learned at once. The
+    result is a stage boundary: pass two starts when pass one has seen all blocks.
     """
     terms = glossary(tables).select("doc_id", F.lit("glossary").alias("kind"), F.col("term_norm").alias("term")) if tables is not None else None
     if terms is not None:
@@ -119,18 +121,19 @@ def harvest(blocks: DataFrame, ner: DataFrame | None = None, tables: DataFrame |
     found = cues.select("doc_id", "kind", "term", (F.col("cue") == "promoter").alias("promoter"))
     for more in ([name_columns(tables, lexicon)] if tables is not None else []) + ([ner_candidates(ner, lexicon)] if ner is not None else []):
         found = found.unionByName(more.withColumn("promoter", F.lit(False)))
+    found = barrier(found)  # candidates are few beside the text, and read four times
     people = found.where("kind = 'person'").groupBy("doc_id", "term").agg(F.max("promoter").alias("promoter"))
     families = family_names(people, lexicon).groupBy("doc_id").agg(F.collect_set("surname").alias("families"))
     orgs = found.where("kind = 'org'").select("doc_id", "term").distinct().join(families, "doc_id", "left")
     if held is not None:
         orgs = orgs.join(held, "doc_id", "left")
     allowed = policy.is_redactable_org(F.col("term"), F.col("families"), F.col("glossary") if held is not None else None, lexicon)
-    orgs = orgs.where(allowed).select("doc_id", "term")
+    orgs = barrier(orgs.where(allowed).select("doc_id", "term"))
     orgs = orgs.unionByName(base_names(orgs, lexicon)).distinct()
     dins = din_cues(blocks).unionByName(table_dins(blocks, people.select("doc_id", "term"))).distinct()
     parts = [people.select("doc_id", F.lit("person").alias("kind"), "term"), orgs.select("doc_id", F.lit("org").alias("kind"), "term"), dins.select("doc_id", F.lit("din").alias("kind"), "term")]
     out = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return out.unionByName(terms.distinct()) if terms is not None else out
+    return barrier(out.unionByName(terms.distinct()) if terms is not None else out)
 
 
 def summary(gazetteer: DataFrame) -> DataFrame:

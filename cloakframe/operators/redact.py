@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cloakframe.functions import fakes
 from cloakframe.functions.detectors import REGISTRY, Context, Detector, candidates, ner_spans
 from cloakframe.functions.spans import apply_spans, resolve_overlaps
+from cloakframe.operators.barrier import barrier
 from cloakframe.operators.harvest import by_document, context_columns, harvest
 
 
@@ -60,19 +61,29 @@ def span_rows(detected: DataFrame) -> DataFrame:
 
 
 def rewrite(detected: DataFrame, config: RedactionConfig = RedactionConfig()) -> tuple[DataFrame, DataFrame]:
-    """The blocks with ``redacted`` text and ``edits``, and the mapping."""
+    """The blocks with ``redacted`` text and ``edits``, and the mapping.
+
+    The spans, not the texts, are written once; the mapping and the edits read
+    them, and the edits join back to the blocks, whose detection is then pruned.
+    """
     scope = ["doc_id"] if config.by_document else []
-    rows = span_rows(detected.select("doc_id", "block_index", "text", "spans"))
-    mapping = fakes.mapping(rows, scope, config.seed, config.salt)
+    rows = barrier(span_rows(detected.select("doc_id", "block_index", "text", "spans")))
+    mapping = barrier(fakes.mapping(rows, scope, config.seed, config.salt))
     keyed = rows.withColumn("canonical", fakes.canonical(F.col("entity_type"), F.col("text")))
     named = keyed.join(mapping.select(*scope, "entity_type", "canonical", "replacement"), [*scope, "entity_type", "canonical"])
     edit = F.struct("start", "end", fakes.match_case(F.col("text"), F.col("replacement")).alias("replacement"), "entity_type", "detector", F.col("text").alias("source"))
     edits = named.groupBy("doc_id", "block_index").agg(F.array_sort(F.collect_list(edit)).alias("edits"))
-    joined = detected.join(edits, ["doc_id", "block_index"], "left")
+    joined = detected.drop("spans").join(edits, ["doc_id", "block_index"], "left")
     made = joined.withColumn("edits", F.coalesce("edits", F.array())).withColumn("redacted", apply_spans(F.col("text"), F.col("edits")))
     return made, mapping
 
 
+def source_values(redacted: DataFrame) -> DataFrame:
+    """(doc_id, entity_type, text) of what was replaced."""
+    rows = redacted.select("doc_id", F.explode("edits").alias("e"))
+    return rows.select("doc_id", "e.entity_type", F.col("e.source").alias("text")).distinct()
+
+
 def redact(blocks: DataFrame, ner: DataFrame | None = None, tables: DataFrame | None = None, config: RedactionConfig = RedactionConfig()) -> tuple[DataFrame, DataFrame]:
     return rewrite(detect(blocks, harvest(blocks, ner, tables), detectors=config.detectors), config)
 

@@ -208,8 +208,7 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     made, _ = redact.rewrite(redact.detect(lines(spark, sf_dir), detectors=CLOSED))
-    values = redact.span_rows(made.select("doc_id", "spans")).select("doc_id", "entity_type", "text").distinct()
-    return verify.leaks(made, values)
+    return verify.leaks(made, redact.source_values(made))
 
 
 def structure_check(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def write_audit(path: str, redacted: DataFrame, detections: DataFrame, mapping: DataFrame, summary: DataFrame) -> None:
     """redacted_blocks (Parquet), mapping (CSV with a header), detections and run_summary (JSON lines) under a path."""
-    redacted.drop("edits", "text", "spans").write.parquet(f"{path}/redacted_blocks")
+    redacted.drop("edits", "text").write.parquet(f"{path}/redacted_blocks")
     mapping.write.option("header", True).csv(f"{path}/mapping")
     detections.write.json(f"{path}/detections")
     summary.write.json(f"{path}/run_summary")
