@@ -25,7 +25,7 @@ class HmmRules:
     #: Most frequent words that each state emits by themselves, if they have so many tokens; the others share one symbol.
     own_words: int = 1 << 16
     own_count: int = 3
-    #: Most frequent words whose counts go to every task; the others' counts are joined.
+    #: Most frequent words, at most, whose counts go to every task; the others' counts are joined.
     counted_words: int = 1 << 18
     #: Training texts, in expectation, that the first weights are fitted to before the whole corpus is.
     sample: int = 1500
@@ -263,6 +263,21 @@ def corpus_counts(docs: DataFrame, model: Model, vocabulary: Vocabulary, rules:
     return counts
 
 
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The words of the highest counts, ``most`` of them or fewer: whole classes of like counts, so that no task sorts all.
+
+    A class spans half a per cent; their sizes, a few thousand numbers at any
+    corpus size, decide which fit.
+    """
+    classed = counts.where(F.col("h") != END_HASH).withColumn("k", F.floor(F.log("c") * 200))
+    left, cut = most, None
+    for r in sorted(classed.groupBy("k").count().collect(), key=lambda r: -r.k):
+        if r["count"] > left:
+            break
+        left, cut = left - r["count"], r.k
+    return classed.where(F.lit(False) if cut is None else F.col("k") >= cut).select("h", "c")
+
+
 def learn(docs: DataFrame, text: str = "text", rules: HmmRules = HmmRules()) -> tuple[Model, Vocabulary, DataFrame]:
     """The model, its vocabulary, and the stored counts (h, c) of all training words.
 
@@ -274,7 +289,7 @@ def learn(docs: DataFrame, text: str = "text", rules: HmmRules = HmmRules()) ->
     counts = stored(count_words(docs))
     totals = counts.agg(F.sum("c"), F.count(F.lit(1)), F.sum(F.when(F.col("h") == END_HASH, F.col("c")))).first()
     tokens, types, ends = (int(x or 0) for x in totals)
-    top = counts.where(F.col("h") != END_HASH).orderBy(F.desc("c"), "h").limit(rules.counted_words).toPandas()
+    top = most_frequent(counts, rules.counted_words).toPandas().sort_values(["c", "h"], ascending=[False, True])
     vocabulary = Vocabulary(top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64), tokens, types, ends, rules.own_words, rules.own_count)
     share = min(1.0, rules.sample / max(1, ends))
     rows = docs.where(F.xxhash64("text").cast("double") / F.lit(float(2**64)) + 0.5 <= share).collect()
