@@ -2,14 +2,33 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def barrier(df: DataFrame) -> DataFrame:
-    """The rows from checkpoint files in spark.checkpoint.dir, or in a temporary folder where none is set, as in tests."""
-    sc = df.sparkSession.sparkContext
+    """The rows from a Parquet table in spark.checkpoint.dir, or in a temporary folder where none is set, as in tests.
+
+    Parquet and not ``checkpoint()``: later reads prune columns, and the plan of
+    a checkpoint keeps its origin's constraints, which can name columns that it
+    no longer has, so that a union of it fails. The table is removed when the
+    driver's Python ends.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    path = f"{sc.getCheckpointDir()}/barrier-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+
+    def remove() -> None:
+        with contextlib.suppress(Exception):  # the session may have ended before
+            where = sc._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+    atexit.register(remove)
+    return spark.read.schema(df.schema).parquet(path)
