@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakframe.functions.spans import matches
@@ -87,10 +89,10 @@ def stratified_sample(rows: DataFrame, strata: list[tuple[str, int, int, int]],
     """
     if exclude is not None:
         rows = rows.join(exclude.select(key).distinct(), key, "left_anti")
-    name, size = F.lit(None).cast("string"), F.lit(0)
-    for label, low, high, count in reversed(strata):
+    order, taken, parts = F.sha2(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")), 256), F.lit(False), []
+    for label, low, high, count in strata:
         inside = (F.col(key) >= low) & (F.col(key) < high)
-        name, size = F.when(inside, label).otherwise(name), F.when(inside, count).otherwise(size)
-    placed = rows.withColumn("stratum", name).withColumn("_size", size).where("stratum IS NOT NULL")
-    order = Window.partitionBy("stratum").orderBy(F.sha2(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")), 256), key)
-    return placed.withColumn("_rank", F.row_number().over(order)).where("_rank <= _size").drop("_rank", "_size")
+        # A sorted limit keeps the first rows in each task, so no task gathers a stratum.
+        parts.append(rows.where(inside & ~taken).withColumn("stratum", F.lit(label)).orderBy(order, key).limit(count))
+        taken = taken | inside
+    return reduce(DataFrame.unionByName, parts)

@@ -116,8 +116,17 @@ def redact_fields(fields: DataFrame, config: RedactionConfig = RedactionConfig()
     return rewrite(detect(blocks, detectors=config.detectors), config)
 
 
+def field_audit(redacted: DataFrame, salt: str = "") -> DataFrame:
+    """One row for each replacement in hidden fields, with a hash in place of the source value."""
+    rows = redacted.select("doc_id", "part", F.explode("edits").alias("e"))
+    source = F.sha2(F.concat(F.lit(salt), "e.source"), 256)
+    return rows.select("doc_id", "part", F.lit("instruction").alias("field"), "e.entity_type", source.alias("source_sha256"), "e.replacement")
+
+
 #: Placeholder bytes for images by content type; any other type stops the run.
 IMAGE_TYPES = ("image/png", "image/jpeg")
+#: Fixed value of the audit.
+MEDIA_ACTION = "replaced_with_neutral_placeholder"
 
 
 def redact_media(media: DataFrame, placeholders: dict[str, bytes]) -> DataFrame:
@@ -127,7 +136,7 @@ def redact_media(media: DataFrame, placeholders: dict[str, bytes]) -> DataFrame:
     for name in IMAGE_TYPES:
         if name in placeholders:
             made = F.when(kind == name, F.lit(placeholders[name])).otherwise(made)
-    return media.withColumn("content", made).withColumn("action", F.lit("replaced"))
+    return media.withColumn("content", made).withColumn("action", F.lit(MEDIA_ACTION))
 
 
 def apply_to_runs(runs: DataFrame, edits: DataFrame) -> DataFrame:

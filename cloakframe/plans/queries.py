@@ -202,8 +202,8 @@ FROM (SELECT count(*) AS n, count(*) FILTER (WHERE {hit}) AS tp FROM ({pairs})),
 
 
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
-    return evaluate.stratified_sample(docs, [("front", 0, 100, 15), ("middle", 100, 150, 60), ("rest", 0, 1 << 62, 25)], "doc_id", 42, docs.where("doc_id % 10 = 3"))
+    docs, labelled = (spark.read.parquet(f"{sf_dir}/{t}.parquet").select("doc_id") for t in ("documents", "labels"))
+    return evaluate.stratified_sample(docs, [("front", 0, 100, 15), ("middle", 100, 150, 60), ("rest", 0, 1 << 62, 25)], "doc_id", 42, labelled)
 
 
 def leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,7 +280,7 @@ FROM ({FIXTURE}) f JOIN ({PERSON}) p ON f.doc_id = p.doc_id WHERE contains(f.tex
     "eval_relaxed": SQL_EVAL.format(hit="a < b + 5 AND b < a + 5", pairs=PAIR),
     "eval_chars": f"SELECT CAST(sum(o) AS BIGINT) AS tp_chars, CAST(sum(5 - o) AS BIGINT) AS fp_chars, CAST(sum(5 - o) AS BIGINT) AS fn_chars, CAST(sum(20 + o) AS BIGINT) AS tn_chars FROM (SELECT greatest(0, 5 - abs(a - b)) AS o FROM ({PAIR}))",
     "stratified_sample": """SELECT doc_id, stratum FROM (SELECT doc_id, stratum, row_number() OVER (PARTITION BY stratum ORDER BY sha256('42|' || doc_id), doc_id) AS r
-FROM (SELECT doc_id, CASE WHEN doc_id < 100 THEN 'front' WHEN doc_id < 150 THEN 'middle' ELSE 'rest' END AS stratum FROM documents WHERE doc_id % 10 <> 3))
+FROM (SELECT doc_id, CASE WHEN doc_id < 100 THEN 'front' WHEN doc_id < 150 THEN 'middle' ELSE 'rest' END AS stratum FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id)))
 WHERE r <= CASE stratum WHEN 'front' THEN 15 WHEN 'middle' THEN 60 ELSE 25 END""",
     "redact_hidden_links": None,
     "leak_check": "SELECT doc_id, CAST(0 AS INTEGER) AS block_index, '' AS entity_type FROM documents WHERE FALSE",

@@ -14,6 +14,14 @@ def write_audit(path: str, redacted: DataFrame, detections: DataFrame, mapping:
     summary.write.json(f"{path}/run_summary")
 
 
+def write_hidden_audit(path: str, fields: DataFrame | None = None, media: DataFrame | None = None) -> None:
+    """field_code_redactions and media_redactions (JSON lines) under a path; the bytes of media stay out."""
+    if fields is not None:
+        fields.write.json(f"{path}/field_code_redactions")
+    if media is not None:
+        media.drop("content").write.json(f"{path}/media_redactions")
+
+
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 

@@ -110,6 +110,15 @@ def test_verify_and_sinks(spark, tmp_path):
     assert audit.manifest(spark, str(tmp_path / "out"), "part-*").where("length(sha256) = 64").count() >= 4
 
 
+def test_hidden_audit(spark, tmp_path):
+    fields = spark.createDataFrame([(1, "doc.xml", 0, "HYPERLINK mailto:a.b@acme.example.org"), (1, "doc.xml", 1, None)], "doc_id long, part string, idx int, text string")
+    media = spark.createDataFrame([(1, "p", "image/png", bytearray(b"x"))], "doc_id long, part string, content_type string, content binary")
+    audit.write_hidden_audit(str(tmp_path), rd.field_audit(rd.redact_fields(fields)[0]), rd.redact_media(media, {"image/png": b"y"}))
+    row = audit.read_json_lines(spark, f"{tmp_path}/field_code_redactions", "part string, field string, entity_type string, source_sha256 string, replacement string").collect()
+    assert [(r.part, r.field, r.entity_type, len(r.source_sha256)) for r in row] == [("doc.xml", "instruction", "EMAIL", 64)]
+    assert spark.read.json(f"{tmp_path}/media_redactions").first().action == "replaced_with_neutral_placeholder"
+
+
 def test_streams(spark, tmp_path):
     schema = "doc_id long, text string, at timestamp"
     spark.createDataFrame([(1, "host 10.0.0.1 now\nArjun Mehta", None)], schema).withColumn("at", F.lit("2025-01-01").cast("timestamp")).write.parquet(str(tmp_path / "in"))
