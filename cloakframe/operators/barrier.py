@@ -13,10 +13,9 @@ from pyspark.sql import DataFrame
 def barrier(df: DataFrame) -> DataFrame:
     """The rows from a Parquet table in spark.checkpoint.dir, or in a temporary folder where none is set, as in tests.
 
-    Parquet and not ``checkpoint()``: later reads prune columns, and the plan of
-    a checkpoint keeps its origin's constraints, which can name columns that it
-    no longer has, so that a union of it fails. The table is removed when the
-    driver's Python ends.
+    Parquet and not ``checkpoint()``: later reads prune columns, and the optimizer
+    of Spark 4.1 failed on a union of checkpointed plans, in its constraints. The
+    table is removed when the driver's Python ends.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
