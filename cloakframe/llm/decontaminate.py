@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakframe.llm.common import checkpointed, stored, text_bytes
@@ -26,7 +26,8 @@ class AlignmentRules:
     segment: int = 64
     #: Items of fewer words can't be told from chance and match nothing.
     min_words: int = 8
-    #: A seed is rare if its document count is at most this many times the median of its segment's seeds, or FEW.
+    #: A seed is rare if its document count is at most this many times the median of its segment's seeds that documents
+    #: hold, or FEW. Pairs that only other seeds link are aligned where enough of the segment's words are in the passage.
     rare_factor: float = 4.0
     few: int = 8
     match: int = 2
@@ -192,6 +193,12 @@ def padded(rows: list[list[int]], fill: int) -> np.ndarray:
     return out
 
 
+def within_reach(rules: AlignmentRules) -> Column:
+    """Whether the body has enough of the segment's words for min_score: a score counts matched words at most."""
+    words = F.split("segment", " ")
+    return F.size(F.array_except(words, F.split("body", " "))) <= F.size(words) * (1 - rules.min_score) + 1e-9
+
+
 def align(pairs: DataFrame, rules: AlignmentRules) -> DataFrame:
     """Adds score and end_word to (item, doc, start, segment, body); keeps only what reaches min_score."""
 
@@ -232,10 +239,12 @@ def contaminated(
     Rows of one doc id, or of null id, are one document. Empty tables, no rows.
 
     The corpus is read twice: to count the documents of each seed, and to cut
-    out the passages around rare seeds. A seed is rare beside the other seeds of
-    its own segment, so that an item that a third of the corpus copies keeps its
-    seeds. A bounded vocabulary of the benchmark is broadcast; larger benchmarks
-    take an exact join on n-gram codes instead.
+    out the passages around seeds. A seed is rare beside the other seeds of its
+    own segment. Pairs linked by a rare seed are aligned; those linked by common
+    seeds alone first pass an exact bound on the words they share, so no count
+    of copies hides a copy. One without ``gram`` words in a row of its item has
+    no seed and isn't found. A bounded vocabulary of the benchmark is broadcast;
+    larger benchmarks take an exact join on n-gram codes instead.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
@@ -256,19 +265,19 @@ def contaminated(
         found = found.join(seeds.select("code").distinct(), "code", "left_semi")
     counts = found.groupBy("code").agg(F.count(F.lit(1)).alias("docs"))
     counted = seeds.join(counts, "code").select("seg", "code", "docs")
-    median = seeds.join(counts, "code", "left").groupBy("seg").agg(F.percentile(F.coalesce("docs", F.lit(0)), 0.5).alias("median"))
-    rare = counted.join(median, "seg").where((F.col("docs") <= rules.few) | (F.col("docs") <= rules.rare_factor * F.col("median")))
-    rare = checkpointed(rare.select("seg", "code"))
+    median = counted.groupBy("seg").agg(F.percentile("docs", 0.5).alias("median"))
+    rare = (F.col("docs") <= rules.few) | (F.col("docs") <= rules.rare_factor * F.col("median"))
+    held_seeds = checkpointed(counted.join(median, "seg").select("seg", "code", rare.alias("rare")))
     if small:
-        around = passages(docs, lookup(rare), rules)
+        around = passages(docs, lookup(held_seeds), rules)
     else:
-        own = found.join(rare.select("code").distinct(), "code", "left_semi").groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("code").alias("codes"))
+        own = found.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("code").alias("codes"))
         around = passages(docs.join(own, docs.doc.eqNullSafe(own["_doc"])).select("doc", "text", "codes"), None, rules)
     around = stored(around.withColumn("passage", F.xxhash64("doc", "start", "body")))
-    links = around.select("passage", F.explode("codes").alias("code")).join(rare, "code").select("passage", "seg").distinct()
+    links = around.select("passage", F.explode("codes").alias("code")).join(held_seeds, "code").groupBy("passage", "seg").agg(F.bool_or("rare").alias("rare"))
     pairs = links.join(around.select("passage", "doc", "start", "body").distinct(), "passage")
     named = segments.select("seg", "item", F.col("body").alias("segment"))
-    scored = align(pairs.join(named, "seg"), rules)
+    scored = align(pairs.join(named, "seg").where(F.col("rare") | within_reach(rules)), rules)
     best = scored.groupBy("doc", "item").agg(F.max(F.struct("score", "end_word")).alias("best"))
     return best.select("doc", "item", "best.score", "best.end_word")
 

@@ -65,6 +65,26 @@ def test_against_all_pairs(spark, limit):
         assert abs(got[k] - s) < 1e-9
 
 
+@pytest.mark.parametrize("limit", [500_000, 0])
+def test_many_copies_of_an_edited_item(spark, limit):
+    """Every fifth word is changed, so few seeds are left; other documents hold some of the other seeds by chance."""
+    rng = random.Random(11)
+    items = [(i, prose(rng, 30)) for i in range(4)]
+    docs = [(i, prose(rng, 40)) for i in range(200)]
+    want = {}
+    for i, copies in ((0, 9), (1, 100), (2, 160)):
+        ws = items[i][1].split()
+        copy = " ".join("changed" if k % 5 == 4 else w for k, w in enumerate(ws))
+        assert (score := slow_score(items[i][1], copy)) >= 0.5
+        want |= {(1000 * (i + 1) + k, i): score for k in range(copies)}
+        docs += [(1000 * (i + 1) + k, f"{prose(rng, 5)} {copy} {prose(rng, 5)}") for k in range(copies)]
+        docs += [(9000 + 100 * i + k, f"{prose(rng, 5)} {' '.join(ws[k : k + 4])} {prose(rng, 5)}") for k in range(1, 27) if k % 5]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc, r.item): r.score for r in d.contaminated(frame, bench, rules=d.AlignmentRules(broadcast_words=limit)).collect()}
+    assert set(got) == set(want)
+    assert all(got[k] >= s - 1e-9 for k, s in want.items())
+
+
 def test_long_item_by_segment(spark):
     items, docs = corpus()
     long = items[11][1]
