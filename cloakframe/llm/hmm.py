@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -22,9 +22,10 @@ END_HASH = xxhash.xxh64_intdigest(b"") - (1 << 64) if xxhash.xxh64_intdigest(b""
 @dataclass(frozen=True)
 class HmmRules:
     states: int = 8
-    #: Most frequent words that each state emits by themselves, if they have so many tokens; the others share one symbol.
-    own_words: int = 1 << 16
+    #: Each state emits words of so many tokens by themselves; the others share one symbol.
     own_count: int = 3
+    #: Most frequent own words, at most, whose emissions go to every task; the others' are joined.
+    own_words: int = 1 << 17
     #: Most frequent words, at most, whose counts go to every task; the others' counts are joined.
     counted_words: int = 1 << 18
     #: Training texts, in expectation, that the first weights are fitted to before the whole corpus is.
@@ -93,9 +94,13 @@ class Vocabulary:
     ends: int
     own: int
     own_count: int
+    #: Words and tokens of all own words, those of the joined table too.
+    owned: int
+    own_tokens: int
 
     @property
     def rare(self) -> int:
+        """The number of own words in the broadcast table; also the rare symbol."""
         return min(self.own, int((self.counts >= self.own_count).sum()))
 
     @property
@@ -103,25 +108,46 @@ class Vocabulary:
         return self.rare + 2  # the own words, the rare one and the end
 
     def shares(self) -> np.ndarray:
-        """The corpus' share of each symbol, none of them 0."""
-        own = self.counts[: self.rare]
-        made = np.r_[own, self.tokens - self.ends - own.sum() + 1, self.ends + 1].astype(float)
-        return made / made.sum()
+        """The corpus' share of each symbol, none of them 0; with ``joined_share`` they sum to 1."""
+        made = np.r_[self.counts[: self.rare], self.tokens - self.ends - self.own_tokens + 1, self.ends + 1]
+        return made / self.total
+
+    @property
+    def total(self) -> float:
+        return float(self.tokens + 2)
+
+    @property
+    def joined_share(self) -> float:
+        """The share of all own words outside the broadcast table."""
+        return (self.own_tokens - int(self.counts[: self.rare].sum())) / self.total
 
     def rare_total(self) -> float:
         """The denominator of a word's share of the rare symbol: its tokens and types, and one unknown."""
-        own = int(self.counts[: self.rare].sum())
-        return float(self.tokens - self.ends - own + max(0, self.types - (self.ends > 0) - self.rare) + 1)
+        return float(self.tokens - self.ends - self.own_tokens + max(0, self.types - (self.ends > 0) - self.owned) + 1)
+
+    def joined(self) -> Column:
+        """Whether a word (h, c) has its own emissions outside the broadcast table."""
+        own = (F.col("c") >= self.own_count) & (F.col("h") != END_HASH)
+        if not self.rare:
+            return own
+        c, h = int(self.counts[self.rare - 1]), int(self.hashes[self.rare - 1])
+        return own & ((F.col("c") < c) | ((F.col("c") == c) & (F.col("h") > h)))
 
 
-def encode(values: list[str | None], places: Places, vocabulary: Vocabulary) -> list[np.ndarray]:
-    rare = vocabulary.rare
-    out = []
-    for value in values:
-        found = np.array([places[w] for w in text_words(value)] + [rare + 1], np.int64)
-        found[:-1] = np.where((found[:-1] < 0) | (found[:-1] >= rare), rare, found[:-1])
-        out.append(found)
-    return out
+def encode(value: str | None, places: Places, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, Counter]:
+    """Places of the words; their symbols and the end's; and the words that may have joined emissions, or whose count is unknown.
+
+    The symbol of the j-th of these is -1 - j.
+    """
+    rare, ws = vocabulary.rare, text_words(value)
+    at = np.array([places[w] for w in ws], np.int64)
+    symbols = np.r_[np.where((at < 0) | (at >= rare), rare, at), rare + 1]
+    apart = np.flatnonzero((at < 0) | ((at >= rare) & (vocabulary.counts[at] >= vocabulary.own_count))) if len(vocabulary.counts) else np.flatnonzero(at < 0)
+    words = Counter(ws[i] for i in apart)
+    if words:
+        number = {w: -1 - j for j, w in enumerate(words)}
+        symbols[apart] = [number[ws[i]] for i in apart]
+    return at, symbols, words
 
 
 # --- the model --------------------------------------------------------------
@@ -132,6 +158,9 @@ class Model:
     start: np.ndarray
     move: np.ndarray
     emit: np.ndarray  # (symbols, states)
+    #: A joined word of n expected tokens and a share of the corpus emits (n + weight * share) / total.
+    weight: np.ndarray | float = 1.0
+    total: np.ndarray | float = 1.0
 
 
 def packs(rows: list[np.ndarray], cells: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
@@ -192,16 +221,22 @@ class Counts:
             for k in range(self.emit.shape[1]):
                 self.emit[:, k] += np.bincount(flat, weights[:, k], len(self.emit))
 
-    def model(self, shares: np.ndarray, rules: HmmRules) -> Model:
-        weight = np.maximum(rules.prior, np.minimum(1, self.emit).sum(axis=0))
+    def model(self, shares: np.ndarray, rules: HmmRules, joined: tuple = (0.0, 0.0, 0.0)) -> Model:
+        """The next weights; ``joined`` has the joined words' counts, these up to 1 each, and their share of the corpus."""
+        n, most_one, share = joined
+        weight = np.maximum(rules.prior, np.minimum(1, self.emit).sum(axis=0) + most_one)
         emit = self.emit + weight * shares[:, None]
-        start, move = self.start + 0.1, self.move + 0.1
-        return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+        start, move, total = self.start + 0.1, self.move + 0.1, emit.sum(axis=0) + n + weight * share
+        return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / total, weight, total)
+
 
+def first_model(rows: list[np.ndarray], shares: np.ndarray, rest: float, rules: HmmRules) -> tuple[Model, np.ndarray]:
+    """Weights from a sample, and the expected counts of its symbols.
 
-def first_model(rows: list[np.ndarray], vocabulary: Vocabulary, rules: HmmRules) -> Model:
-    """Weights from a sample: one state for each of the texts that are least like each other, then rounds of Baum-Welch."""
-    shares, k = vocabulary.shares(), rules.states
+    One state for each of the texts that are least like each other, then rounds
+    of Baum-Welch. ``rest`` is the share of the words that no text of it has.
+    """
+    k = rules.states
     rng = np.random.default_rng(rules.seed)
     emit = shares[:, None] * rng.uniform(0.7, 1.3, (len(shares), k))
     bags = [np.unique(r[:-1], return_counts=True) for r in rows]
@@ -220,47 +255,135 @@ def first_model(rows: list[np.ndarray], vocabulary: Vocabulary, rules: HmmRules)
         for state, seed in enumerate(seeds):
             symbols, n = bags[long[seed]]
             np.add.at(emit[:, state], symbols, n / n.sum())
-    emit /= emit.sum(axis=0)
+    total = emit.sum(axis=0) + rest
     move = np.full((k, k), (1 - rules.stickiness) / max(1, k - 1))
     np.fill_diagonal(move, rules.stickiness if k > 1 else 1.0)
-    model = Model(np.full(k, 1 / k), move, emit)
+    model, counts = Model(np.full(k, 1 / k), move, emit / total, np.ones(k), total), Counts(len(shares), k)
     for _ in range(rules.sample_rounds if rows else 0):
         counts = Counts(len(shares), k)
         counts.add(rows, model, rules.cells)
-        model = counts.model(shares, rules)
-    return model
+        model = counts.model(shares, rules, (0.0, 0.0, rest))
+    return model, counts.emit
+
+
+def sample_model(rows: list[str | None], counts: DataFrame, vocabulary: Vocabulary, rules: HmmRules) -> tuple[Model, DataFrame]:
+    """The first weights, and the expected counts (h, s0, ...) of the sample's joined words."""
+    spark = counts.sparkSession
+    places, base = Places(vocabulary.hashes), len(vocabulary.shares())
+    made = [encode(r, places, vocabulary)[1:] for r in rows]
+    met = spark.createDataFrame([(h,) for h in sorted({word_hash(w) for _, ws in made for w in ws})], "h long")
+    held = counts.where(vocabulary.joined()).join(met, "h").toPandas().sort_values("h")
+    number = {h: base + i for i, h in enumerate(held["h"].tolist())}
+    sequences = []
+    for symbols, ws in made:
+        local = np.array([number.get(word_hash(w), vocabulary.rare) for w in ws], np.int64)
+        sequences.append(np.where(symbols < 0, local[np.maximum(-1 - symbols, 0)], symbols) if len(local) else symbols)
+    own = held["c"].to_numpy(float) / vocabulary.total
+    model, n = first_model(sequences, np.r_[vocabulary.shares(), own], max(0.0, vocabulary.joined_share - own.sum()), rules)
+    names = state_names(rules)
+    sums = spark.createDataFrame([(h, *x) for h, x in zip(number, n[base:].tolist(), strict=True)], "h long, " + ", ".join(f"{s} double" for s in names))
+    model.emit = model.emit[:base]
+    return model, sums
+
+
+def state_names(rules: HmmRules) -> list[str]:
+    return [f"s{i}" for i in range(rules.states)]
+
+
+def joined_words(counts: DataFrame, sums: DataFrame, model: Model, vocabulary: Vocabulary, rules: HmmRules) -> DataFrame:
+    """(h, c, s0, ...): the joined words and what each state emits of them."""
+    weight, total = (np.broadcast_to(x, rules.states).tolist() for x in (model.weight, model.total))
+    share = F.col("c") / F.lit(vocabulary.total)
+    emitted = [((F.coalesce(n, F.lit(0.0)) + F.lit(weight[i]) * share) / F.lit(total[i])).alias(n) for i, n in enumerate(state_names(rules))]
+    return counts.where(vocabulary.joined()).join(sums, "h", "left").select("h", "c", *emitted)
+
+
+def local_rows(symbols: pa.Array, met: pa.Array, base: int, rare: int, states: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """The sequences, with joined words numbered from base; for these their emissions, texts and places among the text's words."""
+    rows, at = [], 0
+    flat, sizes = met.flatten(), np.asarray(met.value_lengths().fill_null(0))
+    js = flat.field(0).to_numpy().astype(np.int64)
+    emit = np.column_stack([flat.field(1 + i).to_numpy() for i in range(states)]) if len(js) else np.zeros((0, states))
+    for value, size in zip(symbols, sizes.tolist(), strict=True):
+        row = np.frombuffer(value.as_buffer(), np.int32).astype(np.int64)
+        if (least := int(row.min())) < 0:
+            local = np.full(-least, rare, np.int64)
+            local[js[at : at + size]] = base + np.arange(at, at + size)
+            row = np.where(row < 0, local[np.maximum(-1 - row, 0)], row)
+        rows.append(row)
+        at += size
+    return rows, emit, np.repeat(np.arange(len(sizes)), sizes), js
+
+
+def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(_row, _symbols, _apart) of the texts (text): symbols as 32-bit numbers, and the hashes of the words to look up."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = shared.value
+        places = Places(vocabulary.hashes)
+        for batch in batches:
+            symbols, apart = [], []
+            for value in batch.column(0):
+                _, found, ws = encode(value.as_py(), places, vocabulary)
+                symbols.append(found.astype(np.int32).tobytes())
+                apart.append([word_hash(w) for w in ws])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(symbols, pa.binary()), pa.array(apart, pa.list_(pa.int64()))], ["_row", "_symbols", "_apart"])
+
+    numbered = docs.select("text", F.monotonically_increasing_id().alias("_row"))
+    return stored(numbered.mapInArrow(read, "_row long, _symbols binary, _apart array<long>"))
 
 
-def corpus_counts(docs: DataFrame, model: Model, vocabulary: Vocabulary, rules: HmmRules) -> Counts:
-    """The Baum-Welch counts of all texts (text): each task's, summed by symbol in the shuffle."""
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((model, vocabulary))
-    names = [f"s{i}" for i in range(rules.states)]
+def corpus_counts(rows: DataFrame, words: DataFrame, model: Model, vocabulary: Vocabulary, rules: HmmRules) -> tuple[Counts, DataFrame]:
+    """The Baum-Welch counts of all encoded texts, summed by symbol in the shuffle: of the broadcast symbols, and (h, s0, ...) of joined words."""
+    sc = rows.sparkSession.sparkContext
+    shared = sc.broadcast((model, vocabulary.rare))
+    names = state_names(rules)
+    small = [F.col(n).cast("float").alias(n) for n in names]
+    met = rows.select("_row", F.posexplode("_apart").alias("j", "h")).join(words.select("h", *small), "h")
+    met = met.groupBy("_row").agg(F.collect_list(F.struct("j", *names)).alias("_met"))
+    joined = rows.join(met, "_row", "left").select("_symbols", "_apart", F.coalesce("_met", F.array().cast(met.schema["_met"].dataType)).alias("_met"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, vocabulary = shared.value
-        places = Places(vocabulary.hashes)
-        counts = Counts(vocabulary.symbols, rules.states)
-        for batch in batches:
-            counts.add(encode(batch.column(0).to_pylist(), places, vocabulary), model, rules.cells)
+        model, rare = shared.value
+        base = len(model.emit)
+
+        def out(kind: bool, row: np.ndarray, table: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(row), kind)), pa.array(row), *[pa.array(table[:, i]) for i in range(rules.states)]], ["apart", "row", *names])
+
+        all_counts = Counts(base, rules.states)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2000):
+                batch = whole.slice(start, 2000)
+                sequences, emit, texts, js = local_rows(batch.column(0), batch.column(2), base, rare, rules.states)
+                counts = Counts(base + len(emit), rules.states)
+                counts.add(sequences, Model(model.start, model.move, np.vstack([model.emit, emit])), rules.cells)
+                all_counts.start += counts.start
+                all_counts.move += counts.move
+                all_counts.emit += counts.emit[:base]
+                if len(emit):
+                    first = np.r_[0, np.cumsum(np.asarray(batch.column(1).value_lengths().fill_null(0)))]
+                    hashes = batch.column(1).flatten().to_numpy()[first[texts] + js]
+                    known, at = np.unique(hashes, return_inverse=True)
+                    yield out(True, known, np.column_stack([np.bincount(at, counts.emit[base:, i], len(known)) for i in range(rules.states)]))
         # Rows -1 to -states - 1 hold the starts and the moves.
-        table = np.vstack([counts.emit, counts.start, counts.move])
-        row = np.r_[np.arange(vocabulary.symbols), -1 - np.arange(rules.states + 1)]
+        table = np.vstack([all_counts.emit, all_counts.start, all_counts.move])
+        row = np.r_[np.arange(base), -1 - np.arange(rules.states + 1)]
         used = np.flatnonzero(table.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(row[used]), *[pa.array(table[used, i]) for i in range(rules.states)]], ["row", *names])
+        yield out(False, row[used], table[used])
 
-    schema = "row long, " + ", ".join(f"{n} double" for n in names)
-    sums = docs.select("text").mapInArrow(count, schema).groupBy("row").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
+    schema = "apart boolean, row long, " + ", ".join(f"{n} double" for n in names)
+    summed = stored(joined.mapInArrow(count, schema).groupBy("apart", "row").agg(*[F.sum(n).alias(n) for n in names]))
+    sums = summed.where(~F.col("apart")).toPandas()
     counts = Counts(vocabulary.symbols, rules.states)
-    rows, values = sums["row"].to_numpy(), sums[names].to_numpy()
-    for row, value in zip(rows, values, strict=True):
+    for row, value in zip(sums["row"].to_numpy(), sums[names].to_numpy(), strict=True):
         if row >= 0:
             counts.emit[row] = value
         elif row == -1:
             counts.start = value
         else:
             counts.move[-row - 2] = value
-    return counts
+    return counts, summed.where("apart").select(F.col("row").alias("h"), *names)
 
 
 def most_frequent(counts: DataFrame, most: int) -> DataFrame:
@@ -279,24 +402,33 @@ def most_frequent(counts: DataFrame, most: int) -> DataFrame:
 
 
 def learn(docs: DataFrame, text: str = "text", rules: HmmRules = HmmRules()) -> tuple[Model, Vocabulary, DataFrame]:
-    """The model, its vocabulary, and the stored counts (h, c) of all training words.
+    """The model, its vocabulary, and the stored counts (h, c, s0, ...) of all training words.
 
-    All texts count: words, then ``corpus_rounds`` of Baum-Welch, whose expected
-    counts have a fixed size, states times symbols. Only the first weights come
-    from a sample, chosen by a hash of the text.
+    All texts count: words, then ``corpus_rounds`` of Baum-Welch. Every word of
+    ``own_count`` tokens has its own emissions: those of the most frequent words
+    are broadcast, the others' are a table (s0, ... there, null for rare words)
+    that is joined to the texts by word. Only the first weights come from a
+    sample, chosen by a hash of the text.
     """
     docs = docs.select(F.col(text).alias("text"))
     counts = stored(count_words(docs))
-    totals = counts.agg(F.sum("c"), F.count(F.lit(1)), F.sum(F.when(F.col("h") == END_HASH, F.col("c")))).first()
-    tokens, types, ends = (int(x or 0) for x in totals)
+    own = (F.col("h") != END_HASH) & (F.col("c") >= rules.own_count)
+    totals = counts.agg(F.sum("c"), F.count(F.lit(1)), F.sum(F.when(F.col("h") == END_HASH, F.col("c"))), F.count(F.when(own, 1)), F.sum(F.when(own, F.col("c")))).first()
+    tokens, types, ends, owned, own_tokens = (int(x or 0) for x in totals)
     top = most_frequent(counts, rules.counted_words).toPandas().sort_values(["c", "h"], ascending=[False, True])
-    vocabulary = Vocabulary(top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64), tokens, types, ends, rules.own_words, rules.own_count)
+    vocabulary = Vocabulary(top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64), tokens, types, ends, rules.own_words, rules.own_count, owned, own_tokens)
     share = min(1.0, rules.sample / max(1, ends))
-    rows = docs.where(F.xxhash64("text").cast("double") / F.lit(float(2**64)) + 0.5 <= share).collect()
-    model = first_model(encode([r.text for r in rows], Places(vocabulary.hashes), vocabulary), vocabulary, rules)
+    sample = docs.where(F.xxhash64("text").cast("double") / F.lit(float(2**64)) + 0.5 <= share).collect()
+    model, sums = sample_model([r.text for r in sample], counts, vocabulary, rules)
+    rows = encoded(docs, vocabulary) if ends else None
+    names = state_names(rules)
     for _ in range(rules.corpus_rounds if ends else 0):
-        model = corpus_counts(docs, model, vocabulary, rules).model(vocabulary.shares(), rules)
-    return model, vocabulary, counts
+        found, sums = corpus_counts(rows, joined_words(counts, sums, model, vocabulary, rules), model, vocabulary, rules)
+        totals = sums.agg(*[F.sum(n) for n in names], *[F.sum(F.least(F.lit(1.0), n)) for n in names]).first()
+        apart = np.array([x or 0.0 for x in totals])
+        model = found.model(vocabulary.shares(), rules, (apart[: rules.states], apart[rules.states :], vocabulary.joined_share))
+    words = joined_words(counts, sums, model, vocabulary, rules).drop("c")
+    return model, vocabulary, stored(counts.join(words, "h", "left"))
 
 
 def score(docs: DataFrame, learned: tuple[Model, Vocabulary, DataFrame], text: str = "text", rules: HmmRules = HmmRules()) -> DataFrame:
@@ -304,57 +436,74 @@ def score(docs: DataFrame, learned: tuple[Model, Vocabulary, DataFrame], text: s
 
     score is the model's log10 probability of the words and the end: the forward
     likelihood of the symbols, and each rare word's share of the rare symbol.
-    base_score is the smoothed unigram one. Null text is an end alone. Counts of
-    words outside the broadcast table come from an exact join on 64-bit hashes.
-    Columns of the new names are replaced; rows are kept as they are.
+    base_score is the smoothed unigram one. Null text is an end alone. Counts and
+    emissions of words outside the broadcast tables come from an exact join on
+    64-bit hashes. Columns of the new names are replaced; rows are kept as they are.
     """
     model, vocabulary, counts = learned
-    new = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "_row", "_tail")
+    new = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "_row", "_apart", "_symbols", "_met")
     docs = docs.drop(*[c for c in docs.columns if c.lower() in new])
-    shared = docs.sparkSession.sparkContext.broadcast((model, vocabulary))
+    shared, weights = (docs.sparkSession.sparkContext.broadcast(x) for x in (vocabulary, model))
     base_total, rare_total = float(vocabulary.tokens + vocabulary.types + 1), vocabulary.rare_total()
     where, others = docs.columns.index(text), [c for c in docs.columns if c != text]
+    names, rare = state_names(rules), vocabulary.rare
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, vocabulary = shared.value
-        places, rare = Places(vocabulary.hashes), vocabulary.rare
-        tail_type = pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())]))
+        vocabulary = shared.value
+        places = Places(vocabulary.hashes)
+        apart_type = pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64()), ("counted", pa.bool_())]))
         base_logs = np.log10((vocabulary.counts + 1) / base_total)
-        rare_logs = np.log10((vocabulary.counts + 1) / rare_total)
+        rare_logs = np.where(vocabulary.counts < vocabulary.own_count, np.log10((vocabulary.counts + 1) / rare_total), 0.0)
         end_log = np.log10((vocabulary.ends + 1) / base_total)
         for batch in batches:
-            sequences, out, tails = [], np.zeros((4, batch.num_rows)), []
+            symbols, out, apart = [], np.zeros((4, batch.num_rows)), []
             for i, value in enumerate(batch.column(where)):
-                ws = text_words(value.as_py())
-                at = np.array([places[w] for w in ws], np.int64)
+                at, found, ws = encode(value.as_py(), places, vocabulary)
                 known = at[at >= 0]
-                out[0, i], out[1, i] = len(ws) + 1, len(known) + (vocabulary.ends > 0)
+                out[0, i], out[1, i] = len(at) + 1, len(known) + (vocabulary.ends > 0)
                 out[2, i] = base_logs[known].sum() + end_log
                 out[3, i] = rare_logs[known[known >= rare]].sum()
-                tails.append([{"h": word_hash(w), "n": n} for w, n in Counter(w for w, p in zip(ws, at.tolist(), strict=True) if p < 0).items()])
-                sequences.append(np.r_[np.where((at < 0) | (at >= rare), rare, at), rare + 1])
-            for part, steps, alive in packs(sequences, rules.cells):
-                out[3, part] += forward(steps, alive, model)[0] / np.log(10)
+                apart.append([{"h": word_hash(w), "n": n, "counted": places[w] >= 0} for w, n in ws.items()])
+                symbols.append(found.astype(np.int32).tobytes())
             columns = [batch.column(batch.schema.names.index(c)) for c in [*others, "_row"]]
-            made = [pa.array(out[0].astype(np.int64)), pa.array(out[1].astype(np.int64)), pa.array(out[2]), pa.array(out[3]), pa.array(tails, tail_type)]
-            yield pa.RecordBatch.from_arrays([*columns, *made], [*others, "_row", "n_tokens", "n_known", "base_score", "score", "_tail"])
+            made = [pa.array(out[0].astype(np.int64)), pa.array(out[1].astype(np.int64)), pa.array(out[2]), pa.array(out[3]), pa.array(symbols, pa.binary()), pa.array(apart, apart_type)]
+            yield pa.RecordBatch.from_arrays([*columns, *made], [*others, "_row", "n_tokens", "n_known", "base_score", "score", "_symbols", "_apart"])
 
     numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    schema = StructType([f for f in docs.schema.fields if f.name != text] + StructType.fromDDL("_row long, n_tokens long, n_known long, base_score double, score double, _tail array<struct<h:long,n:long>>").fields)
+    kept = [f for f in docs.schema.fields if f.name != text]
+    schema = StructType(kept + StructType.fromDDL("_row long, n_tokens long, n_known long, base_score double, score double, _symbols binary, _apart array<struct<h:long,n:long,counted:boolean>>").fields)
     scored = stored(numbered.mapInArrow(read, schema))
-    tail = scored.select("_row", F.explode("_tail").alias("w")).select("_row", "w.h", "w.n").join(counts, "h", "left")
-    c = F.coalesce("c", F.lit(0))
-    added = tail.groupBy("_row").agg(
-        F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("_known"),
-        F.sum(F.col("n") * F.log10((c + 1) / base_total)).alias("_base"),
-        F.sum(F.col("n") * F.log10((c + 1) / rare_total)).alias("_rare"),
+    apart = scored.select("_row", F.posexplode("_apart").alias("j", "w")).select("_row", "j", "w.h", "w.n", "w.counted").join(counts, "h", "left")
+    c, seen = F.coalesce("c", F.lit(0)), F.col("counted")
+    added = apart.groupBy("_row").agg(
+        F.sum(F.when(~seen & (c > 0), F.col("n")).otherwise(0)).alias("_known"),
+        F.sum(F.when(~seen, F.col("n") * F.log10((c + 1) / base_total)).otherwise(0.0)).alias("_base"),
+        F.sum(F.when(F.col(names[0]).isNull(), F.col("n") * F.log10((c + 1) / rare_total)).otherwise(0.0)).alias("_rare"),
+        F.collect_list(F.when(F.col(names[0]).isNotNull(), F.struct("j", *names))).alias("_met"),
     )
     none = F.lit(0.0)
-    return scored.drop("_tail").join(added, "_row", "left").select(
+    joined = scored.drop("_apart").join(added, "_row", "left").select(
         *others,
         "n_tokens",
         (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"),
         F.lit(vocabulary.tokens).cast("long").alias("train_tokens"),
         (F.col("base_score") + F.coalesce("_base", none)).alias("base_score"),
         (F.col("score") + F.coalesce("_rare", none)).alias("score"),
+        "_symbols",
+        F.coalesce("_met", F.array().cast(added.schema["_met"].dataType)).alias("_met"),
     )
+
+    def likelihood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = weights.value
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2000):
+                batch = whole.slice(start, 2000)
+                *columns, scores, symbols, met = batch.columns
+                sequences, emit, _, _ = local_rows(symbols, met, len(model.emit), rare, rules.states)
+                made, local = scores.to_numpy().copy(), Model(model.start, model.move, np.vstack([model.emit, emit]))
+                for part, steps, alive in packs(sequences, rules.cells):
+                    made[part] += forward(steps, alive, local)[0] / np.log(10)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(made)], joined_names)
+
+    joined_names = joined.columns[:-2]
+    return joined.mapInArrow(likelihood, StructType(joined.schema.fields[:-2]))

@@ -115,3 +115,21 @@ def test_query_beats_the_base_on_held_out_texts(spark, sf_dir):
         assert math.isclose(r.base_score, want[i][3], rel_tol=1e-9)
     held = [r for r in got.values() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_joined_emissions_are_those_of_the_broadcast_table(spark):
+    """All words of own_count tokens learn state emissions, however few of them are broadcast."""
+    rng = np.random.default_rng(4)
+    texts = [(i, " ".join(f"{'ab'[i % 2]}{rng.integers(0, 30)}" for _ in range(40)) + f" once{i}") for i in range(60)]
+    docs = spark.createDataFrame([*texts, (99, None)], "doc_id long, text string").repartition(3)
+    scores = []
+    for own, counted in ((1000, 1000), (5, 1000), (5, 20), (0, 0)):
+        rules = hmm.HmmRules(states=2, own_words=own, counted_words=counted, prior=1.0)
+        rows = hmm.score(docs, hmm.learn(docs, rules=rules), rules=rules).collect()
+        scores.append({r.doc_id: (r.n_known, r.base_score, r.score) for r in rows})
+    for other in scores[1:]:
+        assert other.keys() == scores[0].keys()
+        for i, r in other.items():
+            # The first weights are drawn by symbol, so the rounds may settle a little apart.
+            assert r[0] == scores[0][i][0] and math.isclose(r[1], scores[0][i][1], rel_tol=1e-9)
+            assert r[2] > r[1] and math.isclose(r[2], scores[0][i][2], rel_tol=0.03) or i == 99
