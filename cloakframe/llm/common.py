@@ -78,6 +78,15 @@ def text_bytes(value: str | None) -> bytes:
     return (value or "").encode("utf-8", "replace")
 
 
+def drawn_texts(docs: DataFrame, text: str, most: int) -> DataFrame:
+    """The distinct texts of the lowest hashes, ``most`` of them at most: copies neither weigh more nor come whole."""
+    hashed = F.xxhash64(F.col(text))
+    lowest = docs.select(hashed.alias("h")).distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    if lowest is None:
+        return docs.select(text).limit(0)
+    return docs.select(text).where(hashed <= lowest).dropDuplicates([text])
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of every node of the edges (a, b); component is its smallest node.
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from cloakframe.llm.common import stored, text_bytes
+from cloakframe.llm.common import drawn_texts, stored, text_bytes
 
 #: The hash that stands for the end of a text; no word is empty.
 END_HASH = xxhash.xxh64_intdigest(b"") - (1 << 64) if xxhash.xxh64_intdigest(b"") >> 63 else xxhash.xxh64_intdigest(b"")
@@ -28,7 +28,7 @@ class HmmRules:
     own_words: int = 1 << 17
     #: Most frequent words, at most, whose counts go to every task; the others' counts are joined.
     counted_words: int = 1 << 18
-    #: Training texts, in expectation, that the first weights are fitted to before the whole corpus is.
+    #: Distinct training texts, at most, that the first weights are fitted to before the whole corpus is.
     sample: int = 1500
     sample_rounds: int = 12
     corpus_rounds: int = 2
@@ -266,7 +266,7 @@ def first_model(rows: list[np.ndarray], shares: np.ndarray, rest: float, rules:
     return model, counts.emit
 
 
-def sample_model(rows: list[str | None], counts: DataFrame, vocabulary: Vocabulary, rules: HmmRules) -> tuple[Model, DataFrame]:
+def sample_model(rows: list[str], counts: DataFrame, vocabulary: Vocabulary, rules: HmmRules) -> tuple[Model, DataFrame]:
     """The first weights, and the expected counts (h, s0, ...) of the sample's joined words."""
     spark = counts.sparkSession
     places, base = Places(vocabulary.hashes), len(vocabulary.shares())
@@ -408,7 +408,7 @@ def learn(docs: DataFrame, text: str = "text", rules: HmmRules = HmmRules()) ->
     ``own_count`` tokens has its own emissions: those of the most frequent words
     are broadcast, the others' are a table (s0, ... there, null for rare words)
     that is joined to the texts by word. Only the first weights come from a
-    sample, chosen by a hash of the text.
+    sample of distinct texts, chosen by their hashes.
     """
     docs = docs.select(F.col(text).alias("text"))
     counts = stored(count_words(docs))
@@ -417,9 +417,8 @@ def learn(docs: DataFrame, text: str = "text", rules: HmmRules = HmmRules()) ->
     tokens, types, ends, owned, own_tokens = (int(x or 0) for x in totals)
     top = most_frequent(counts, rules.counted_words).toPandas().sort_values(["c", "h"], ascending=[False, True])
     vocabulary = Vocabulary(top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64), tokens, types, ends, rules.own_words, rules.own_count, owned, own_tokens)
-    share = min(1.0, rules.sample / max(1, ends))
-    sample = docs.where(F.xxhash64("text").cast("double") / F.lit(float(2**64)) + 0.5 <= share).collect()
-    model, sums = sample_model([r.text for r in sample], counts, vocabulary, rules)
+    sample = sorted(r.text or "" for r in drawn_texts(docs, "text", rules.sample).collect())
+    model, sums = sample_model(sample, counts, vocabulary, rules)
     rows = encoded(docs, vocabulary) if ends else None
     names = state_names(rules)
     for _ in range(rules.corpus_rounds if ends else 0):

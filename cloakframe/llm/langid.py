@@ -23,7 +23,7 @@ class ProfileRules:
     #: Ranks in a language's profile, and the most frequent n-grams taken of a document.
     profile: int = 600
     document: int = 400
-    #: Labelled documents to learn a language from, in expectation.
+    #: Distinct labelled texts to learn a language from, in expectation.
     sample: int = 3000
 
 
@@ -55,16 +55,16 @@ def ranked(codes: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", rules: ProfileRules = ProfileRules()) -> dict[str, np.ndarray]:
     """A profile for each non-null language: its n-grams by falling frequency.
 
-    Languages with more than ``rules.sample`` documents are learned from about so
-    many, chosen by a hash of the text; the result is a few thousand codes a
+    Languages with more than ``rules.sample`` distinct texts are learned from about
+    so many, chosen by a hash of the text, each once however many copies it has; the result is a few thousand codes a
     language. Counts are summed in each task before the shuffle.
     """
     docs = docs.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    sizes = {r.lang: r["count"] for r in docs.groupBy("lang").count().collect()}
+    sizes = {r.lang: r["count"] for r in docs.select("lang", F.xxhash64("text").alias("h")).distinct().groupBy("lang").count().collect()}
     if not sizes:
         return {}
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, rules.sample / n))])
-    chosen = docs.where(F.xxhash64("text").cast("double") / F.lit(float(2**64)) + 0.5 <= share[F.col("lang")])
+    chosen = docs.where(F.xxhash64("text").cast("double") / F.lit(float(2**64)) + 0.5 <= share[F.col("lang")]).dropDuplicates(["lang", "text"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, list] = {}

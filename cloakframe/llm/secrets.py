@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from cloakframe.llm.common import text_bytes
+from cloakframe.llm.common import drawn_texts, text_bytes
 
 #: Fixed rules, in their order: name, pattern, least length, and the group that has it.
 RULES = (
@@ -34,7 +34,7 @@ SIZE = len(ALPHABET) + 1
 
 @dataclass(frozen=True)
 class SecretRules:
-    #: Documents to learn from, in expectation; chosen by a hash of the text.
+    #: Distinct texts to learn from, at most; chosen by their hashes.
     sample: int = 2000
     #: Generated random strings and identifiers, beside those of the sample.
     generated: int = 4000
@@ -92,8 +92,7 @@ def train(docs: DataFrame, text: str = "text", rules: SecretRules = SecretRules(
     as identifiers. The steps are counted in the tasks; the table is of fixed size.
     """
     docs = docs.select(F.col(text).alias("text"))
-    share = min(1.0, rules.sample / max(1, docs.count()))
-    chosen = docs.where(F.xxhash64("text").cast("double") / F.lit(float(2**64)) + 0.5 <= share)
+    chosen = drawn_texts(docs, "text", rules.sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, SIZE * SIZE), np.int64)

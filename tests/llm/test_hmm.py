@@ -5,6 +5,7 @@ from zlib import crc32
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cloakframe.llm import hmm
 from cloakframe.llm.queries import QUERIES
@@ -133,3 +134,13 @@ def test_joined_emissions_are_those_of_the_broadcast_table(spark):
             # The first weights are drawn by symbol, so the rounds may settle a little apart.
             assert r[0] == scores[0][i][0] and math.isclose(r[1], scores[0][i][1], rel_tol=1e-9)
             assert r[2] > r[1] and math.isclose(r[2], scores[0][i][2], rel_tol=0.03) or i == 99
+
+
+def test_copies_stay_within_the_sample(spark, monkeypatch):
+    texts = spark.createDataFrame([(f"text number {i} of some",) for i in range(200)], "text string")
+    copied = texts.orderBy(F.xxhash64("text")).first().text
+    docs = texts.union(spark.createDataFrame([(copied,)] * 100, "text string"))
+    met, first_model = [], hmm.first_model
+    monkeypatch.setattr(hmm, "first_model", lambda rows, *rest: met.append(len(rows)) or first_model(rows, *rest))
+    hmm.learn(docs, rules=hmm.HmmRules(states=2, sample=20, corpus_rounds=0))
+    assert met == [20]

@@ -2,6 +2,7 @@ from collections import Counter
 from zlib import crc32
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from cloakframe.llm import langid
 from cloakframe.llm.langid import Classifier, ProfileRules
@@ -52,3 +53,11 @@ def test_held_out_accuracy(spark, sf_dir):
         assert r.held_out == (crc32(str(r.doc_id).encode()) % 5 == 0)
     held = [r for r in rows if r.held_out and docs[r.doc_id].lang]
     assert sum(r.lang_pred == docs[r.doc_id].lang for r in held) >= 0.95 * len(held)
+
+
+def test_a_language_of_copies_has_a_profile(spark):
+    texts = spark.createDataFrame([(f"some words {i}",) for i in range(50)], "text string")
+    copied = texts.orderBy(F.xxhash64("text").desc()).first().text
+    docs = spark.createDataFrame([("aa", copied)] * 50 + [("bb", f"other text {'xyz'[i % 3] * i}") for i in range(50)], "lang string, text string")
+    profiles = langid.learn(docs, rules=ProfileRules(sample=10))
+    assert set(profiles) == {"aa", "bb"} and len(profiles["aa"])

@@ -4,6 +4,7 @@ import string
 from hashlib import sha256
 
 import pytest
+from pyspark.sql import functions as F
 
 from cloakframe.llm import secrets
 from cloakframe.llm.queries import QUERIES
@@ -76,3 +77,11 @@ def test_query(spark, sf_dir):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(b[1] == k for b in base) for k in range(3))
         added += r.spans.count("markov")
     assert added <= 0.02 * len(rows)
+
+
+def test_copies_count_once_in_the_sample(spark):
+    texts = spark.createDataFrame([(f"zebra_{i} quartz jumping vexed",) for i in range(50)], "text string")
+    copied = texts.orderBy(F.xxhash64("text").desc()).first().text
+    rules = secrets.SecretRules(sample=10)
+    one, many = (secrets.train(spark.createDataFrame([(copied,)] * n, "text string"), rules=rules) for n in (1, 50))
+    assert (one == many).all()
