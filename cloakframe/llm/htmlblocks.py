@@ -11,6 +11,8 @@ MARKUP = re.compile(
     re.DOTALL,
 )
 ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+#: A slash that ends a tag; after an unquoted value it belongs to the value.
+SLASH = re.compile(r"""(?:^|[\s"']|^[^=]*|\s[^=\s]*)/\Z""")
 NAMES = re.compile(r"[a-z]+")
 
 #: Elements that begin and end a block, by the HTML standard's list of block elements and table parts.
@@ -20,7 +22,9 @@ BLOCKS = frozenset(
     "table tbody td tfoot th thead title tr ul".split()
 )
 #: Elements without text of their own.
-RAW = frozenset("script style noscript template svg math iframe object textarea canvas noembed noframes xmp".split())
+RAW = frozenset("script style noscript template svg annotation annotation-xml iframe object textarea canvas noembed noframes xmp".split())
+#: Elements of XML content, which a slash closes; in others it closes nothing, as in browsers.
+FOREIGN = frozenset("svg math annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag of the key ends an open element of the value, up to the nearest container.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head", "title")}
@@ -90,6 +94,8 @@ def blocks(html: str | None) -> list[Block]:
                 close_to(index)
             continue
         attrs = m["attrs"] or m["attrs2"] or ""
+        if name in FOREIGN and SLASH.search(attrs):
+            continue
         if name in RAW:
             end = re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE).search(html, at)
             at = end.end() if end else len(html)
@@ -105,7 +111,7 @@ def blocks(html: str | None) -> list[Block]:
                         break
                     if stack[i][0] in wanted:
                         close_to(i)
-        if name not in VOID:  # as in browsers, a slash closes nothing
+        if name not in VOID and not (name not in BLOCKS and SLASH.search(attrs) and any(s[0] == "math" for s in stack)):
             stack.append((name, signature(name, attrs)))
             link_depth += name == "a"
     say(html[at:])

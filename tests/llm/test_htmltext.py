@@ -19,6 +19,11 @@ CASES = {
     "<p>open <a href='x": ["open"],
     "</p></div>stray<": ["stray<"],
     "<p>&nbsp; \t </p>": [],
+    "<p>a <svg width='1'/>b <math/>c</p><p>d <svg/>e": ["a b c", "d e"],
+    "<p>a <svg><text>no</text></svg>b": ["a b"],
+    "<p>so <math display=block><mi>x</mi><mspace width='1'/><mo>=</mo><mn>2</mn></math> holds</p>": ["so x=2 holds"],
+    "<p>a <svg class=x/>no</svg>b": ["a b"],
+    "<p><math><semantics><mi>y</mi><annotation encoding='application/x-tex'>no</annotation></semantics></math> is": ["y is"],
 }
 
 
