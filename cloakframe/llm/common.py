@@ -20,13 +20,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary folder where none is set, as in tests."""
+    """This session's part of the shared checkpoint folder that the cluster names in spark.checkpoint.dir.
+
+    Without the setting, a temporary folder serves a local master, as in tests;
+    elsewhere executors could not see one another's files, so that is an error.
+    The session's own part is removed when the driver's Python ends.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+        atexit.register(remove, spark, sc.getCheckpointDir())
     return sc.getCheckpointDir()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table; a session that has ended leaves it."""
+    with contextlib.suppress(Exception):
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with files in the shared checkpoint folder."""
     shared_dir(df.sparkSession)
@@ -34,25 +50,29 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Cut the lineage of wide rows with a compressed table in the shared checkpoint folder.
-
-    The table is removed when the driver's Python ends.
-    """
+    """Cut the lineage of wide rows with a compressed table in the shared checkpoint folder."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    made = spark.read.parquet(path)
+    made.stored_at = path
+    return made
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the table of ``stored`` before the session ends, where nothing reads it any more."""
+    remove(df.sparkSession, df.stored_at)
 
-    def remove() -> None:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
-    def at_exit() -> None:
-        with contextlib.suppress(Exception):  # the session may have ended before
-            remove()
+def aside(docs: DataFrame, *kept: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The documents with all columns but ``kept`` renamed, so that no name of the operators' own can clash.
 
-    atexit.register(at_exit)
-    return spark.read.parquet(path)
+    The second result gives a frame its names back: columns that it still has of
+    the renamed ones, and any others as they are.
+    """
+    held = {f"_aside{i}_": c for i, c in enumerate(docs.columns) if c not in kept}
+    names = {c: k for k, c in held.items()}
+    return docs.toDF(*[names.get(c, c) for c in docs.columns]), lambda made: made.toDF(*[held.get(c, c) for c in made.columns])
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -78,13 +98,20 @@ def text_bytes(value: str | None) -> bytes:
     return (value or "").encode("utf-8", "replace")
 
 
-def drawn_texts(docs: DataFrame, text: str, most: int) -> DataFrame:
-    """The distinct texts of the lowest hashes, ``most`` of them at most: copies neither weigh more nor come whole."""
+def drawn_texts(docs: DataFrame, text: str, most: int, chars: int | None = None) -> DataFrame:
+    """The distinct texts of the lowest hashes, ``most`` of them at most: copies neither weigh more nor come whole.
+
+    ``chars`` bounds each by a stretch of so many characters, from a place that its hash chooses.
+    """
     hashed = F.xxhash64(F.col(text))
     lowest = docs.select(hashed.alias("h")).distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
     if lowest is None:
         return docs.select(text).limit(0)
-    return docs.select(text).where(hashed <= lowest).dropDuplicates([text])
+    drawn = docs.select(text).where(hashed <= lowest).dropDuplicates([text])
+    if chars is None:
+        return drawn
+    start = F.pmod(hashed, F.greatest(F.lit(1), F.length(text) - chars + 1)).cast("int") + 1
+    return drawn.select(F.substring(F.col(text), start, F.lit(chars)).alias(text))
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -11,9 +11,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from cloakframe.llm.common import drawn_texts, stored, text_bytes
+from cloakframe.llm.common import discard, drawn_texts, stored, text_bytes
 
 #: The hash that stands for the end of a text; no word is empty.
 END_HASH = xxhash.xxh64_intdigest(b"") - (1 << 64) if xxhash.xxh64_intdigest(b"") >> 63 else xxhash.xxh64_intdigest(b"")
@@ -24,18 +24,20 @@ class HmmRules:
     states: int = 8
     #: Each state emits words of so many tokens by themselves; the others share one symbol.
     own_count: int = 3
-    #: Most frequent own words, at most, whose emissions go to every task; the others' are joined.
+    #: Most frequent words, at most, whose counts and emissions go to every task; the others' are joined.
     own_words: int = 1 << 17
-    #: Most frequent words, at most, whose counts go to every task; the others' counts are joined.
-    counted_words: int = 1 << 18
-    #: Distinct training texts, at most, that the first weights are fitted to before the whole corpus is.
+    #: Distinct training texts, at most, that the first weights are fitted to before the whole corpus is, and how many
+    #: characters of each, from a place that its hash chooses.
     sample: int = 1500
+    sample_chars: int = 20_000
     sample_rounds: int = 12
     corpus_rounds: int = 2
     #: Least weight of the corpus' word shares in a state's, in tokens; else it is the number of words the state emits.
     prior: float = 100.0
     stickiness: float = 0.95
     cells: int = 200_000
+    #: Texts go through the model in chunks of so many tokens, or one longer text.
+    chunk_tokens: int = 500_000
     seed: int = 3
 
 
@@ -71,28 +73,45 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 class Places(dict):
-    """Word to its place among the counted words, or -1; remembers the words it has met."""
+    """A word's place among the broadcast words; words outside are numbered as they come, the j-th as -1 - j, until ``begin``."""
 
     def __init__(self, hashes: np.ndarray):
         super().__init__()
         self.known = {h: i for i, h in enumerate(hashes.tolist())}
+        self.begin()
+
+    def begin(self) -> None:
+        self.apart: dict[bytes, int] = {}
+        self.hashes: list[int] = []
 
     def __missing__(self, word: bytes) -> int:
-        place = self.known.get(word_hash(word), -1)
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = place
-        return place
+        number = self.apart.get(word)
+        if number is not None:
+            return number
+        h = word_hash(word)
+        place = self.known.get(h)
+        if place is not None:
+            self[word] = place  # as many entries as there are broadcast words, but for rare collisions
+            return place
+        self.hashes.append(h)
+        number = self.apart[word] = -len(self.hashes)
+        return number
 
 
 @dataclass
 class Vocabulary:
+    """The broadcast words, by falling count, and sums over all words of the corpus.
+
+    Symbols are the places of broadcast words of ``own_count`` tokens, then one
+    for rare words and one for the end. While the model is fitted, words outside
+    the table are rare too: they are tied until the last round's counts.
+    """
+
     hashes: np.ndarray
     counts: np.ndarray
     tokens: int
     types: int
     ends: int
-    own: int
     own_count: int
     #: Words and tokens of all own words, those of the joined table too.
     owned: int
@@ -101,16 +120,16 @@ class Vocabulary:
     @property
     def rare(self) -> int:
         """The number of own words in the broadcast table; also the rare symbol."""
-        return min(self.own, int((self.counts >= self.own_count).sum()))
+        return int((self.counts >= self.own_count).sum())
 
     @property
     def symbols(self) -> int:
-        return self.rare + 2  # the own words, the rare one and the end
+        return self.rare + 2
 
-    def shares(self) -> np.ndarray:
-        """The corpus' share of each symbol, none of them 0; with ``joined_share`` they sum to 1."""
-        made = np.r_[self.counts[: self.rare], self.tokens - self.ends - self.own_tokens + 1, self.ends + 1]
-        return made / self.total
+    def shares(self, tied: bool) -> np.ndarray:
+        """The corpus' share of each symbol, none of them 0; untied, they and ``joined_share`` sum to 1."""
+        own = int(self.counts[: self.rare].sum()) if tied else self.own_tokens
+        return np.r_[self.counts[: self.rare], self.tokens - self.ends - own + 1, self.ends + 1] / self.total
 
     @property
     def total(self) -> float:
@@ -125,29 +144,27 @@ class Vocabulary:
         """The denominator of a word's share of the rare symbol: its tokens and types, and one unknown."""
         return float(self.tokens - self.ends - self.own_tokens + max(0, self.types - (self.ends > 0) - self.owned) + 1)
 
-    def joined(self) -> Column:
-        """Whether a word (h, c) has its own emissions outside the broadcast table."""
-        own = (F.col("c") >= self.own_count) & (F.col("h") != END_HASH)
-        if not self.rare:
-            return own
-        c, h = int(self.counts[self.rare - 1]), int(self.hashes[self.rare - 1])
-        return own & ((F.col("c") < c) | ((F.col("c") == c) & (F.col("h") > h)))
+    def outside(self) -> Column:
+        """Whether a word (h, c) is outside the broadcast table."""
+        word = F.col("h") != END_HASH
+        if not len(self.counts):
+            return word
+        c, h = int(self.counts[-1]), int(self.hashes[-1])
+        return word & ((F.col("c") < c) | ((F.col("c") == c) & (F.col("h") > h)))
 
 
-def encode(value: str | None, places: Places, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, Counter]:
-    """Places of the words; their symbols and the end's; and the words that may have joined emissions, or whose count is unknown.
+def encode(value: str | None, places: Places) -> np.ndarray:
+    """The places of a text's words."""
+    ws = text_words(value)
+    return np.fromiter(map(places.__getitem__, ws), np.int32, len(ws))
 
-    The symbol of the j-th of these is -1 - j.
-    """
-    rare, ws = vocabulary.rare, text_words(value)
-    at = np.array([places[w] for w in ws], np.int64)
-    symbols = np.r_[np.where((at < 0) | (at >= rare), rare, at), rare + 1]
-    apart = np.flatnonzero((at < 0) | ((at >= rare) & (vocabulary.counts[at] >= vocabulary.own_count))) if len(vocabulary.counts) else np.flatnonzero(at < 0)
-    words = Counter(ws[i] for i in apart)
-    if words:
-        number = {w: -1 - j for j, w in enumerate(words)}
-        symbols[apart] = [number[ws[i]] for i in apart]
-    return at, symbols, words
+
+def sequences(at: np.ndarray, sizes: np.ndarray, rare: int, base: int | None) -> list[np.ndarray]:
+    """The symbols of texts, each with its end; words apart are numbered from base, or rare without one."""
+    symbols = np.where(at >= rare, rare, at).astype(np.int64)
+    symbols = np.where(symbols < 0, rare if base is None else base - 1 - symbols, symbols)
+    ends = np.cumsum(sizes)
+    return np.split(np.insert(symbols, ends, rare + 1), (ends + np.arange(1, len(sizes) + 1))[:-1])
 
 
 # --- the model --------------------------------------------------------------
@@ -230,12 +247,8 @@ class Counts:
         return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / total, weight, total)
 
 
-def first_model(rows: list[np.ndarray], shares: np.ndarray, rest: float, rules: HmmRules) -> tuple[Model, np.ndarray]:
-    """Weights from a sample, and the expected counts of its symbols.
-
-    One state for each of the texts that are least like each other, then rounds
-    of Baum-Welch. ``rest`` is the share of the words that no text of it has.
-    """
+def first_model(rows: list[np.ndarray], shares: np.ndarray, rules: HmmRules) -> Model:
+    """Weights from a sample: one state for each of the texts that are least like each other, then rounds of Baum-Welch."""
     k = rules.states
     rng = np.random.default_rng(rules.seed)
     emit = shares[:, None] * rng.uniform(0.7, 1.3, (len(shares), k))
@@ -255,126 +268,117 @@ def first_model(rows: list[np.ndarray], shares: np.ndarray, rest: float, rules:
         for state, seed in enumerate(seeds):
             symbols, n = bags[long[seed]]
             np.add.at(emit[:, state], symbols, n / n.sum())
-    total = emit.sum(axis=0) + rest
     move = np.full((k, k), (1 - rules.stickiness) / max(1, k - 1))
     np.fill_diagonal(move, rules.stickiness if k > 1 else 1.0)
-    model, counts = Model(np.full(k, 1 / k), move, emit / total, np.ones(k), total), Counts(len(shares), k)
+    model = Model(np.full(k, 1 / k), move, emit / emit.sum(axis=0))
     for _ in range(rules.sample_rounds if rows else 0):
         counts = Counts(len(shares), k)
         counts.add(rows, model, rules.cells)
-        model = counts.model(shares, rules, (0.0, 0.0, rest))
-    return model, counts.emit
-
-
-def sample_model(rows: list[str], counts: DataFrame, vocabulary: Vocabulary, rules: HmmRules) -> tuple[Model, DataFrame]:
-    """The first weights, and the expected counts (h, s0, ...) of the sample's joined words."""
-    spark = counts.sparkSession
-    places, base = Places(vocabulary.hashes), len(vocabulary.shares())
-    made = [encode(r, places, vocabulary)[1:] for r in rows]
-    met = spark.createDataFrame([(h,) for h in sorted({word_hash(w) for _, ws in made for w in ws})], "h long")
-    held = counts.where(vocabulary.joined()).join(met, "h").toPandas().sort_values("h")
-    number = {h: base + i for i, h in enumerate(held["h"].tolist())}
-    sequences = []
-    for symbols, ws in made:
-        local = np.array([number.get(word_hash(w), vocabulary.rare) for w in ws], np.int64)
-        sequences.append(np.where(symbols < 0, local[np.maximum(-1 - symbols, 0)], symbols) if len(local) else symbols)
-    own = held["c"].to_numpy(float) / vocabulary.total
-    model, n = first_model(sequences, np.r_[vocabulary.shares(), own], max(0.0, vocabulary.joined_share - own.sum()), rules)
-    names = state_names(rules)
-    sums = spark.createDataFrame([(h, *x) for h, x in zip(number, n[base:].tolist(), strict=True)], "h long, " + ", ".join(f"{s} double" for s in names))
-    model.emit = model.emit[:base]
-    return model, sums
+        model = counts.model(shares, rules)
+    return model
 
 
-def state_names(rules: HmmRules) -> list[str]:
-    return [f"s{i}" for i in range(rules.states)]
+def encoded(docs: DataFrame, text: str, vocabulary: Vocabulary, rules: HmmRules, training: Column | None = None) -> DataFrame:
+    """(_chunk, _docs, _learn, _sizes, _at, _apart): chunks of texts as places, with the other columns and the hashes of words apart.
 
+    A chunk looks up each word apart once, however many of its texts have it.
+    The places are 32-bit numbers, compressed. _learn says which texts are learned from.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary.hashes)
+    others = [f for f in docs.schema.fields if f.name != text]
+    names = [text, *[f.name for f in others]]
+    row = "_".join(["row", *names])  # no column has this name
+    learned_from = F.lit(True) if training is None else F.coalesce(training, F.lit(False))
+    docs = docs.select(*names, F.monotonically_increasing_id(), learned_from)
 
-def joined_words(counts: DataFrame, sums: DataFrame, model: Model, vocabulary: Vocabulary, rules: HmmRules) -> DataFrame:
-    """(h, c, s0, ...): the joined words and what each state emits of them."""
-    weight, total = (np.broadcast_to(x, rules.states).tolist() for x in (model.weight, model.total))
-    share = F.col("c") / F.lit(vocabulary.total)
-    emitted = [((F.coalesce(n, F.lit(0.0)) + F.lit(weight[i]) * share) / F.lit(total[i])).alias(n) for i, n in enumerate(state_names(rules))]
-    return counts.where(vocabulary.joined()).join(sums, "h", "left").select("h", "c", *emitted)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = Places(shared.value)
+
+        def chunk(batch: pa.RecordBatch, start: int, parts: list[np.ndarray]) -> pa.RecordBatch:
+            n = len(parts)
+            columns = [c.slice(start, n) for c in batch.columns]
+            whole = pa.StructArray.from_arrays(columns[1:-1], [*names[1:], row])
+            one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+            sizes = pa.array(map(len, parts), pa.int64())
+            at = pa.compress(np.concatenate(parts).tobytes(), "zstd", asbytes=True)
+            hashes = pa.array(places.hashes, pa.int64())
+            places.begin()
+            made = [columns[-2].slice(0, 1), one(whole), one(columns[-1]), one(sizes), pa.array([at], pa.binary()), one(hashes)]
+            return pa.RecordBatch.from_arrays(made, ["_chunk", "_docs", "_learn", "_sizes", "_at", "_apart"])
 
+        for batch in batches:
+            start, tokens, parts = 0, 0, []
+            for i, value in enumerate(batch.column(0)):
+                parts.append(encode(value.as_py(), places))
+                tokens += len(parts[-1])
+                if tokens >= rules.chunk_tokens or i == batch.num_rows - 1:
+                    yield chunk(batch, start, parts)
+                    start, tokens, parts = i + 1, 0, []
 
-def local_rows(symbols: pa.Array, met: pa.Array, base: int, rare: int, states: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """The sequences, with joined words numbered from base; for these their emissions, texts and places among the text's words."""
-    rows, at = [], 0
-    flat, sizes = met.flatten(), np.asarray(met.value_lengths().fill_null(0))
-    js = flat.field(0).to_numpy().astype(np.int64)
-    emit = np.column_stack([flat.field(1 + i).to_numpy() for i in range(states)]) if len(js) else np.zeros((0, states))
-    for value, size in zip(symbols, sizes.tolist(), strict=True):
-        row = np.frombuffer(value.as_buffer(), np.int32).astype(np.int64)
-        if (least := int(row.min())) < 0:
-            local = np.full(-least, rare, np.int64)
-            local[js[at : at + size]] = base + np.arange(at, at + size)
-            row = np.where(row < 0, local[np.maximum(-1 - row, 0)], row)
-        rows.append(row)
-        at += size
-    return rows, emit, np.repeat(np.arange(len(sizes)), sizes), js
+    kept = StructType([*others, StructField(row, LongType())])
+    schema = StructType([StructField("_chunk", LongType()), StructField("_docs", ArrayType(kept))])
+    schema = StructType(schema.fields + StructType.fromDDL("_learn array<boolean>, _sizes array<long>, _at binary, _apart array<long>").fields)
+    return stored(docs.mapInArrow(read, schema))
 
 
-def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(_row, _symbols, _apart) of the texts (text): symbols as 32-bit numbers, and the hashes of the words to look up."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def unpacked(at: bytes, sizes: np.ndarray) -> np.ndarray:
+    return np.frombuffer(pa.decompress(at, int(sizes.sum()) * 4, "zstd", asbytes=True), np.int32)
+
+
+def state_names(rules: HmmRules) -> list[str]:
+    return [f"s{i}" for i in range(rules.states)]
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = shared.value
-        places = Places(vocabulary.hashes)
-        for batch in batches:
-            symbols, apart = [], []
-            for value in batch.column(0):
-                _, found, ws = encode(value.as_py(), places, vocabulary)
-                symbols.append(found.astype(np.int32).tobytes())
-                apart.append([word_hash(w) for w in ws])
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(symbols, pa.binary()), pa.array(apart, pa.list_(pa.int64()))], ["_row", "_symbols", "_apart"])
 
-    numbered = docs.select("text", F.monotonically_increasing_id().alias("_row"))
-    return stored(numbered.mapInArrow(read, "_row long, _symbols binary, _apart array<long>"))
+#: Expected counts travel as whole numbers of this part of a token, so that they take few bytes and sum alike in any order.
+UNIT = 256.0
 
 
-def corpus_counts(rows: DataFrame, words: DataFrame, model: Model, vocabulary: Vocabulary, rules: HmmRules) -> tuple[Counts, DataFrame]:
-    """The Baum-Welch counts of all encoded texts, summed by symbol in the shuffle: of the broadcast symbols, and (h, s0, ...) of joined words."""
-    sc = rows.sparkSession.sparkContext
-    shared = sc.broadcast((model, vocabulary.rare))
+def corpus_counts(rows: DataFrame, model: Model, vocabulary: Vocabulary, rules: HmmRules, last: bool) -> tuple[Counts, DataFrame]:
+    """The Baum-Welch counts of all encoded training texts, summed by symbol in the shuffle; and, of the last round, (h, s0, ...) of words apart.
+
+    Words outside the broadcast table are emitted as the rare symbol is. The
+    last round counts them one by one, so that each can have emissions of its own.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast((model, vocabulary.rare))
     names = state_names(rules)
-    small = [F.col(n).cast("float").alias(n) for n in names]
-    met = rows.select("_row", F.posexplode("_apart").alias("j", "h")).join(words.select("h", *small), "h")
-    met = met.groupBy("_row").agg(F.collect_list(F.struct("j", *names)).alias("_met"))
-    joined = rows.join(met, "_row", "left").select("_symbols", "_apart", F.coalesce("_met", F.array().cast(met.schema["_met"].dataType)).alias("_met"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, rare = shared.value
         base = len(model.emit)
 
-        def out(kind: bool, row: np.ndarray, table: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(row), kind)), pa.array(row), *[pa.array(table[:, i]) for i in range(rules.states)]], ["apart", "row", *names])
-
-        all_counts = Counts(base, rules.states)
-        for whole in batches:
-            for start in range(0, whole.num_rows, 2000):
-                batch = whole.slice(start, 2000)
-                sequences, emit, texts, js = local_rows(batch.column(0), batch.column(2), base, rare, rules.states)
-                counts = Counts(base + len(emit), rules.states)
-                counts.add(sequences, Model(model.start, model.move, np.vstack([model.emit, emit])), rules.cells)
-                all_counts.start += counts.start
-                all_counts.move += counts.move
-                all_counts.emit += counts.emit[:base]
-                if len(emit):
-                    first = np.r_[0, np.cumsum(np.asarray(batch.column(1).value_lengths().fill_null(0)))]
-                    hashes = batch.column(1).flatten().to_numpy()[first[texts] + js]
-                    known, at = np.unique(hashes, return_inverse=True)
-                    yield out(True, known, np.column_stack([np.bincount(at, counts.emit[base:, i], len(known)) for i in range(rules.states)]))
+        def out(apart: bool, row: np.ndarray, table: np.ndarray) -> pa.RecordBatch:
+            whole = np.rint(table * UNIT).astype(np.int64)
+            used = np.flatnonzero(whole.any(axis=1))
+            columns = [pa.array(whole[used, i]) for i in range(rules.states)]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(used), apart)), pa.array(row[used]), *columns], ["apart", "row", *names])
+
+        total = Counts(base, rules.states)
+        for batch in batches:
+            for learn, sizes, at, hashes in zip(*batch.columns, strict=True):
+                sizes, hashes = sizes.values.to_numpy(), hashes.values.to_numpy()
+                learn = np.asarray(learn.values).astype(bool)
+                places = unpacked(at.as_py(), sizes)
+                if not learn.all():
+                    places, sizes = places[np.repeat(learn, sizes)], sizes[learn]
+                if not len(sizes):
+                    continue
+                n = len(hashes) if last else 0
+                local = Model(model.start, model.move, np.vstack([model.emit, np.repeat(model.emit[rare : rare + 1], n, axis=0)]))
+                counts = Counts(base + n, rules.states)
+                counts.add(sequences(places, sizes, rare, base if last else None), local, rules.cells)
+                total.start += counts.start
+                total.move += counts.move
+                total.emit += counts.emit[:base]
+                if n:
+                    yield out(True, hashes, counts.emit[base:])
         # Rows -1 to -states - 1 hold the starts and the moves.
-        table = np.vstack([all_counts.emit, all_counts.start, all_counts.move])
-        row = np.r_[np.arange(base), -1 - np.arange(rules.states + 1)]
-        used = np.flatnonzero(table.any(axis=1))
-        yield out(False, row[used], table[used])
-
-    schema = "apart boolean, row long, " + ", ".join(f"{n} double" for n in names)
-    summed = stored(joined.mapInArrow(count, schema).groupBy("apart", "row").agg(*[F.sum(n).alias(n) for n in names]))
-    sums = summed.where(~F.col("apart")).toPandas()
+        yield out(False, np.r_[np.arange(base), -1 - np.arange(rules.states + 1)], np.vstack([total.emit, total.start, total.move]))
+
+    schema = "apart boolean, row long, " + ", ".join(f"{n} long" for n in names)
+    summed = rows.select("_learn", "_sizes", "_at", "_apart").mapInArrow(count, schema).groupBy("apart", "row").agg(*[F.sum(n).alias(n) for n in names])
+    summed = stored(summed)
+    parts = summed.select("apart", "row", *[(F.col(n) / UNIT).alias(n) for n in names])
+    sums = parts.where(~F.col("apart")).toPandas()  # of the broadcast symbols, as bounded as they are
     counts = Counts(vocabulary.symbols, rules.states)
     for row, value in zip(sums["row"].to_numpy(), sums[names].to_numpy(), strict=True):
         if row >= 0:
@@ -383,7 +387,7 @@ def corpus_counts(rows: DataFrame, words: DataFrame, model: Model, vocabulary: V
             counts.start = value
         else:
             counts.move[-row - 2] = value
-    return counts, summed.where("apart").select(F.col("row").alias("h"), *names)
+    return counts, parts.where("apart").select(F.col("row").alias("h"), *names)
 
 
 def most_frequent(counts: DataFrame, most: int) -> DataFrame:
@@ -401,33 +405,90 @@ def most_frequent(counts: DataFrame, most: int) -> DataFrame:
     return classed.where(F.lit(False) if cut is None else F.col("k") >= cut).select("h", "c")
 
 
-def learn(docs: DataFrame, text: str = "text", rules: HmmRules = HmmRules()) -> tuple[Model, Vocabulary, DataFrame]:
-    """The model, its vocabulary, and the stored counts (h, c, s0, ...) of all training words.
+def untied(counts: DataFrame, sums: DataFrame, found: Counts, vocabulary: Vocabulary, rules: HmmRules) -> tuple[Model, DataFrame]:
+    """The model in which each own word outside the broadcast table emits by itself, and (h, c, e): these words' emissions.
 
-    All texts count: words, then ``corpus_rounds`` of Baum-Welch. Every word of
-    ``own_count`` tokens has its own emissions: those of the most frequent words
-    are broadcast, the others' are a table (s0, ... there, null for rare words)
-    that is joined to the texts by word. Only the first weights come from a
-    sample of distinct texts, chosen by their hashes.
+    e has a 32-bit number for each state; it is null for words that are rare.
     """
-    docs = docs.select(F.col(text).alias("text"))
+    names = state_names(rules)
+    words = counts.where(vocabulary.outside()).join(sums, "h", "left").fillna(0.0, names)
+    words = stored(words.withColumn("own", F.col("c") >= rules.own_count))
+    one = [F.sum(F.when(F.col("own"), F.least(F.lit(1.0), n))) for n in names]
+    totals = words.agg(*[F.sum(F.when(F.col("own"), F.col(n))) for n in names], *one, *[F.sum(F.when(~F.col("own"), F.col(n))) for n in names]).first()
+    n, most_one, rare = np.array([x or 0.0 for x in totals]).reshape(3, -1)
+    found.emit[vocabulary.rare] += rare
+    model = found.model(vocabulary.shares(False), rules, (n, most_one, vocabulary.joined_share))
+    weight, total = model.weight / vocabulary.total, model.total
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, c, own, *sums = batch.columns
+            made = np.column_stack([x.to_numpy() for x in sums]) + weight * c.to_numpy()[:, None]
+            made = (made / total).astype("<f4").tobytes()
+            size = 4 * rules.states
+            e = [made[i * size : (i + 1) * size] if x else None for i, x in enumerate(own.to_pylist())]
+            yield pa.RecordBatch.from_arrays([h, c, pa.array(e, pa.binary())], ["h", "c", "e"])
+
+    table = stored(words.select("h", "c", "own", *names).mapInArrow(emit, "h long, c long, e binary"))
+    discard(words)
+    return model, table
+
+
+def count_corpus(docs: DataFrame, rules: HmmRules) -> tuple[DataFrame, Vocabulary]:
+    """The stored counts (h, c) of all words of the texts (text), and the vocabulary."""
     counts = stored(count_words(docs))
     own = (F.col("h") != END_HASH) & (F.col("c") >= rules.own_count)
     totals = counts.agg(F.sum("c"), F.count(F.lit(1)), F.sum(F.when(F.col("h") == END_HASH, F.col("c"))), F.count(F.when(own, 1)), F.sum(F.when(own, F.col("c")))).first()
     tokens, types, ends, owned, own_tokens = (int(x or 0) for x in totals)
-    top = most_frequent(counts, rules.counted_words).toPandas().sort_values(["c", "h"], ascending=[False, True])
-    vocabulary = Vocabulary(top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64), tokens, types, ends, rules.own_words, rules.own_count, owned, own_tokens)
-    sample = sorted(r.text or "" for r in drawn_texts(docs, "text", rules.sample).collect())
-    model, sums = sample_model(sample, counts, vocabulary, rules)
-    rows = encoded(docs, vocabulary) if ends else None
-    names = state_names(rules)
-    for _ in range(rules.corpus_rounds if ends else 0):
-        found, sums = corpus_counts(rows, joined_words(counts, sums, model, vocabulary, rules), model, vocabulary, rules)
-        totals = sums.agg(*[F.sum(n) for n in names], *[F.sum(F.least(F.lit(1.0), n)) for n in names]).first()
-        apart = np.array([x or 0.0 for x in totals])
-        model = found.model(vocabulary.shares(), rules, (apart[: rules.states], apart[rules.states :], vocabulary.joined_share))
-    words = joined_words(counts, sums, model, vocabulary, rules).drop("c")
-    return model, vocabulary, stored(counts.join(words, "h", "left"))
+    top = most_frequent(counts, rules.own_words).toPandas().sort_values(["c", "h"], ascending=[False, True])
+    return counts, Vocabulary(top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64), tokens, types, ends, rules.own_count, owned, own_tokens)
+
+
+def fit(docs: DataFrame, chunks: DataFrame, counts: DataFrame, vocabulary: Vocabulary, rules: HmmRules) -> tuple[Model, DataFrame]:
+    """The model and the words outside the broadcast table, from the training texts (text) and all texts' chunks."""
+    if rules.corpus_rounds < 1:
+        raise ValueError("at least one round over the corpus parts the words outside the broadcast table")
+    places = Places(vocabulary.hashes)
+    sample = [encode(r, places) for r in sorted(r.text or "" for r in drawn_texts(docs, "text", rules.sample, rules.sample_chars).collect())]
+    tied = vocabulary.shares(True)
+    model = first_model(sequences(np.concatenate(sample), np.array([len(x) for x in sample]), vocabulary.rare, None) if sample else [], tied, rules)
+    for left in range(rules.corpus_rounds - 1, -1, -1):
+        found, sums = corpus_counts(chunks, model, vocabulary, rules, not left)
+        model = found.model(tied, rules)
+    return untied(counts, sums, found, vocabulary, rules)
+
+
+def learn(docs: DataFrame, text: str = "text", rules: HmmRules = HmmRules()) -> tuple[Model, Vocabulary, DataFrame]:
+    """The model, its vocabulary, and the stored words (h, c, e) outside the broadcast table, with their emissions.
+
+    All texts count: words, then ``corpus_rounds`` of Baum-Welch. Every word of
+    ``own_count`` tokens gets its own emissions: those of the most frequent words
+    are broadcast and fitted in all rounds; the others are tied to one symbol
+    until the last round, whose counts by word and state part them. They are a
+    table that grows with the corpus and is joined by word. Only the first
+    weights come from a sample of distinct texts, chosen by their hashes.
+    """
+    docs = docs.select(F.col(text).alias("text"))
+    counts, vocabulary = count_corpus(docs, rules)
+    chunks = encoded(docs, "text", vocabulary, rules)
+    model, words = fit(docs, chunks, counts, vocabulary, rules)
+    discard(chunks)
+    return model, vocabulary, words
+
+
+def learn_and_score(docs: DataFrame, training: Column, text: str = "text", rules: HmmRules = HmmRules()) -> DataFrame:
+    """All documents scored (see score) by a model of those for which ``training`` holds (see learn); texts are encoded once."""
+    docs = unscored(docs)
+    own = docs.where(training).select(F.col(text).alias("text"))
+    counts, vocabulary = count_corpus(own, rules)
+    chunks = encoded(docs, text, vocabulary, rules, training)
+    model, words = fit(own, chunks, counts, vocabulary, rules)
+    return judged(docs, chunks, (model, vocabulary, words), text, rules)
+
+
+def unscored(docs: DataFrame) -> DataFrame:
+    new = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return docs.drop(*[c for c in docs.columns if c.lower() in new])
 
 
 def score(docs: DataFrame, learned: tuple[Model, Vocabulary, DataFrame], text: str = "text", rules: HmmRules = HmmRules()) -> DataFrame:
@@ -436,73 +497,47 @@ def score(docs: DataFrame, learned: tuple[Model, Vocabulary, DataFrame], text: s
     score is the model's log10 probability of the words and the end: the forward
     likelihood of the symbols, and each rare word's share of the rare symbol.
     base_score is the smoothed unigram one. Null text is an end alone. Counts and
-    emissions of words outside the broadcast tables come from an exact join on
-    64-bit hashes. Columns of the new names are replaced; rows are kept as they are.
+    emissions of words outside the broadcast table come from an exact join on
+    64-bit hashes, once for each chunk of texts. Columns of the new names are
+    replaced; rows are kept as they are, repeated ones too; no documents, no rows.
     """
-    model, vocabulary, counts = learned
-    new = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "_row", "_apart", "_symbols", "_met")
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in new])
-    shared, weights = (docs.sparkSession.sparkContext.broadcast(x) for x in (vocabulary, model))
-    base_total, rare_total = float(vocabulary.tokens + vocabulary.types + 1), vocabulary.rare_total()
-    where, others = docs.columns.index(text), [c for c in docs.columns if c != text]
-    names, rare = state_names(rules), vocabulary.rare
+    docs = unscored(docs)
+    return judged(docs, encoded(docs, text, learned[1], rules), learned, text, rules)
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = shared.value
-        places = Places(vocabulary.hashes)
-        apart_type = pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64()), ("counted", pa.bool_())]))
-        base_logs = np.log10((vocabulary.counts + 1) / base_total)
-        rare_logs = np.where(vocabulary.counts < vocabulary.own_count, np.log10((vocabulary.counts + 1) / rare_total), 0.0)
-        end_log = np.log10((vocabulary.ends + 1) / base_total)
-        for batch in batches:
-            symbols, out, apart = [], np.zeros((4, batch.num_rows)), []
-            for i, value in enumerate(batch.column(where)):
-                at, found, ws = encode(value.as_py(), places, vocabulary)
-                known = at[at >= 0]
-                out[0, i], out[1, i] = len(at) + 1, len(known) + (vocabulary.ends > 0)
-                out[2, i] = base_logs[known].sum() + end_log
-                out[3, i] = rare_logs[known[known >= rare]].sum()
-                apart.append([{"h": word_hash(w), "n": n, "counted": places[w] >= 0} for w, n in ws.items()])
-                symbols.append(found.astype(np.int32).tobytes())
-            columns = [batch.column(batch.schema.names.index(c)) for c in [*others, "_row"]]
-            made = [pa.array(out[0].astype(np.int64)), pa.array(out[1].astype(np.int64)), pa.array(out[2]), pa.array(out[3]), pa.array(symbols, pa.binary()), pa.array(apart, apart_type)]
-            yield pa.RecordBatch.from_arrays([*columns, *made], [*others, "_row", "n_tokens", "n_known", "base_score", "score", "_symbols", "_apart"])
-
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    kept = [f for f in docs.schema.fields if f.name != text]
-    schema = StructType(kept + StructType.fromDDL("_row long, n_tokens long, n_known long, base_score double, score double, _symbols binary, _apart array<struct<h:long,n:long,counted:boolean>>").fields)
-    scored = stored(numbered.mapInArrow(read, schema))
-    apart = scored.select("_row", F.posexplode("_apart").alias("j", "w")).select("_row", "j", "w.h", "w.n", "w.counted").join(counts, "h", "left")
-    c, seen = F.coalesce("c", F.lit(0)), F.col("counted")
-    added = apart.groupBy("_row").agg(
-        F.sum(F.when(~seen & (c > 0), F.col("n")).otherwise(0)).alias("_known"),
-        F.sum(F.when(~seen, F.col("n") * F.log10((c + 1) / base_total)).otherwise(0.0)).alias("_base"),
-        F.sum(F.when(F.col(names[0]).isNull(), F.col("n") * F.log10((c + 1) / rare_total)).otherwise(0.0)).alias("_rare"),
-        F.collect_list(F.when(F.col(names[0]).isNotNull(), F.struct("j", *names))).alias("_met"),
-    )
-    none = F.lit(0.0)
-    joined = scored.drop("_apart").join(added, "_row", "left").select(
-        *others,
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"),
-        F.lit(vocabulary.tokens).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("_base", none)).alias("base_score"),
-        (F.col("score") + F.coalesce("_rare", none)).alias("score"),
-        "_symbols",
-        F.coalesce("_met", F.array().cast(added.schema["_met"].dataType)).alias("_met"),
-    )
-
-    def likelihood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = weights.value
-        for whole in batches:
-            for start in range(0, whole.num_rows, 2000):
-                batch = whole.slice(start, 2000)
-                *columns, scores, symbols, met = batch.columns
-                sequences, emit, _, _ = local_rows(symbols, met, len(model.emit), rare, rules.states)
-                made, local = scores.to_numpy().copy(), Model(model.start, model.move, np.vstack([model.emit, emit]))
-                for part, steps, alive in packs(sequences, rules.cells):
-                    made[part] += forward(steps, alive, local)[0] / np.log(10)
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(made)], joined_names)
-
-    joined_names = joined.columns[:-2]
-    return joined.mapInArrow(likelihood, StructType(joined.schema.fields[:-2]))
+
+def judged(docs: DataFrame, chunks: DataFrame, learned: tuple[Model, Vocabulary, DataFrame], text: str, rules: HmmRules) -> DataFrame:
+    model, vocabulary, words = learned
+    shared = docs.sparkSession.sparkContext.broadcast((model, vocabulary))
+    others = [f for f in docs.schema.fields if f.name != text]
+    base_total, rare_total = float(vocabulary.tokens + vocabulary.types + 1), vocabulary.rare_total()
+    looked = chunks.select(F.col("_chunk").alias("_of"), F.posexplode("_apart").alias("j", "h")).join(words, "h").select("_of", "j", "c", "e")
+    schema = StructType(others + StructType.fromDDL("n_tokens long, n_known long, train_tokens long, base_score double, score double").fields)
+
+    def judge(texts: pa.Table, looked: pa.Table) -> pa.Table:
+        model, vocabulary = shared.value
+        rare, base = vocabulary.rare, len(model.emit)
+        sizes = texts.column("_sizes").combine_chunks().flatten().to_numpy()
+        at = unpacked(texts.column("_at")[0].as_py(), sizes)
+        # Words apart: their counts, and emissions in rows after those of the broadcast symbols.
+        n = int(max(0, -at.min(initial=0)))
+        j, c, e = looked.column("j").to_numpy(), np.zeros(n, np.int64), looked.column("e")
+        c[j] = looked.column("c").to_numpy()
+        has = np.asarray(e.is_valid())
+        emit = np.frombuffer(b"".join(e.drop_null().to_pylist()), "<f4").reshape(-1, rules.states).astype(float)
+        number = np.full(n, rare)
+        number[j[has]] = base + np.arange(len(emit))
+        count = np.r_[vocabulary.counts, c[::-1]][at]  # the j-th word apart is at -1 - j
+        alone = np.r_[np.arange(len(vocabulary.counts)) >= rare, number[::-1] == rare][at]
+        row = np.repeat(np.arange(len(sizes)), sizes)
+    XX
+        scores = summed(np.where(alone, np.log10((count + 1) / rare_total), 0.0))
+        parts = [np.where(s >= base, np.r_[np.zeros(base, np.int64), number][np.minimum(s, base + n - 1)], s) for s in sequences(at, sizes, rare, base)]
+        local = Model(model.start, model.move, np.vstack([model.emit, emit]))
+        for part, steps, alive in packs(parts, rules.cells):
+            scores[part] += forward(steps, alive, local)[0] / np.log(10)
+        end = np.log10((vocabulary.ends + 1) / base_total)
+        made = [sizes + 1, summed(count > 0).astype(np.int64) + (vocabulary.ends > 0), np.full(len(sizes), vocabulary.tokens), summed(np.log10((count + 1) / base_total)) + end, scores]
+        columns = texts.column("_docs").combine_chunks().flatten().flatten()[:-1]
+        return pa.Table.from_arrays([*columns, *map(pa.array, made)], schema.names)
+
+    return chunks.drop("_apart", "_learn").groupBy("_chunk").cogroup(looked.groupBy("_of")).applyInArrow(judge, schema)

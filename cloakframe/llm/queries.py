@@ -29,7 +29,13 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return linededup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+    index = linededup.new_index(docs)
+    index.insert(docs)
+    # One document in 16 goes and comes back: the index must be as if it had never gone.
+    again = docs.where(F.crc32(F.col("doc_id").cast("string")) % 16 == 0)
+    index.delete(again.select(F.col("doc_id").alias("doc")))
+    index.insert(again)
+    return index.dedup(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +101,7 @@ def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
-    return hmm.score(docs, hmm.learn(docs.where(~F.col("held_out"))))
+    return hmm.learn_and_score(docs, ~F.col("held_out"))
 
 
 QUERIES = {"op6_hmm_score": op6_hmm_score, "op7_html_extract": op7_html_extract, "op8_secret_scan": op8_secret_scan, "op5_chat_format": op5_chat_format, "op2_language_id": op2_language_id, "op4_mixing": op4_mixing, "op1_decontaminate": op1_decontaminate, "op10_simhash": op10_simhash, "op3_line_dedup": op3_line_dedup, "op9_quality_rules": op9_quality_rules}

@@ -75,11 +75,11 @@ def base(rows, learn):
     return {i: (len(words(t)) + 1, sum(train[w] > 0 for w in [*words(t), None]), n, sum(math.log10((train[w] + 1) / (n + v + 1)) for w in [*words(t), None])) for i, t in rows}
 
 
-@pytest.mark.parametrize("own,counted", [(1 << 16, 1 << 18), (3, 5)])
-def test_small_tables(spark, own, counted):
+@pytest.mark.parametrize("own,chunk", [(1 << 16, 500_000), (3, 10), (0, 3)])
+def test_small_tables(spark, own, chunk):
     rows = [(1, "the cat The dog"), (2, None), (3, ""), (4, "the unseen cat"), (5, "w " * 20_000), (6, "a b c d e f g h the the dog")]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, score string").repartition(3)
-    rules = hmm.HmmRules(states=2, own_words=own, own_count=1, counted_words=counted, corpus_rounds=1)
+    rules = hmm.HmmRules(states=2, own_words=own, own_count=1, chunk_tokens=chunk, corpus_rounds=1)
     out = hmm.score(docs, hmm.learn(docs.where("doc_id <> 4"), rules=rules), rules=rules).collect()
     want = base(rows, lambda i: i != 4)
     assert len(out) == len(rows)
@@ -95,14 +95,14 @@ def test_small_tables(spark, own, counted):
 def test_words_of_a_length_sum_to_one(spark):
     """One-word texts over the whole vocabulary and one unknown word have probabilities that sum with the others to 1."""
     docs = spark.createDataFrame([(1, "a a a b b c"), (2, "a d")], "doc_id long, text string")
-    rules = hmm.HmmRules(states=2, own_words=2, own_count=1, counted_words=3, corpus_rounds=1)
+    rules = hmm.HmmRules(states=2, own_words=2, own_count=1, corpus_rounds=1)
     learned = hmm.learn(docs, rules=rules)
     model, vocabulary, _ = learned
     texts = spark.createDataFrame([(i, t) for i, t in enumerate(["a", "b", "c", "d", "unknown"])], "doc_id long, text string")
     got = sum(10**r.score for r in hmm.score(texts, learned, rules=rules).collect())
     rare = vocabulary.rare
     one = model.start * (1 - model.emit[rare + 1])  # any word first
-    assert math.isclose(got, float(one @ model.move @ model.emit[rare + 1]), rel_tol=1e-9)
+    assert math.isclose(got, float(one @ model.move @ model.emit[rare + 1]), rel_tol=1e-6)  # emissions of words apart have 32 bits
 
 
 def test_query_beats_the_base_on_held_out_texts(spark, sf_dir):
@@ -124,16 +124,16 @@ def test_joined_emissions_are_those_of_the_broadcast_table(spark):
     texts = [(i, " ".join(f"{'ab'[i % 2]}{rng.integers(0, 30)}" for _ in range(40)) + f" once{i}") for i in range(60)]
     docs = spark.createDataFrame([*texts, (99, None)], "doc_id long, text string").repartition(3)
     scores = []
-    for own, counted in ((1000, 1000), (5, 1000), (5, 20), (0, 0)):
-        rules = hmm.HmmRules(states=2, own_words=own, counted_words=counted, prior=1.0)
+    for own in (1000, 40, 20):
+        rules = hmm.HmmRules(states=2, own_words=own, prior=1.0)
         rows = hmm.score(docs, hmm.learn(docs, rules=rules), rules=rules).collect()
         scores.append({r.doc_id: (r.n_known, r.base_score, r.score) for r in rows})
     for other in scores[1:]:
         assert other.keys() == scores[0].keys()
         for i, r in other.items():
-            # The first weights are drawn by symbol, so the rounds may settle a little apart.
+            # Words apart are tied until the last round, so the rounds may settle a little apart.
             assert r[0] == scores[0][i][0] and math.isclose(r[1], scores[0][i][1], rel_tol=1e-9)
-            assert r[2] > r[1] and math.isclose(r[2], scores[0][i][2], rel_tol=0.03) or i == 99
+            assert r[2] > r[1] and math.isclose(r[2], scores[0][i][2], rel_tol=0.05) or i == 99
 
 
 def test_copies_stay_within_the_sample(spark, monkeypatch):
@@ -142,5 +142,5 @@ def test_copies_stay_within_the_sample(spark, monkeypatch):
     docs = texts.union(spark.createDataFrame([(copied,)] * 100, "text string"))
     met, first_model = [], hmm.first_model
     monkeypatch.setattr(hmm, "first_model", lambda rows, *rest: met.append(len(rows)) or first_model(rows, *rest))
-    hmm.learn(docs, rules=hmm.HmmRules(states=2, sample=20, corpus_rounds=0))
+    hmm.learn(docs, rules=hmm.HmmRules(states=2, sample=20, corpus_rounds=1))
     assert met == [20]

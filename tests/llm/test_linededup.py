@@ -48,20 +48,30 @@ def got(df):
     return sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in df.collect()), key=str)
 
 
-@pytest.mark.parametrize("bound", [linededup.FILTER_BYTES, -1])
-def test_matches_brute_force(spark, monkeypatch, bound):
-    monkeypatch.setattr(linededup, "FILTER_BYTES", bound)
+@pytest.mark.parametrize("hot,shard_refs", [(linededup.HOT, linededup.SHARD_REFS), (0.0, 3), (0.9, 1)])
+def test_matches_brute_force(spark, monkeypatch, tmp_path, hot, shard_refs):
+    monkeypatch.setattr(linededup, "HOT", hot)
     docs = spark.createDataFrame(ROWS, "doc_id long, text string").repartition(3)
     assert got(dedup_lines(docs)) == brute(ROWS)
+    index = LineIndex(spark, str(tmp_path / "few"), shard_refs=shard_refs)
+    index.insert(docs)
+    assert got(index.dedup(docs)) == brute(ROWS)
+
+
+def test_a_line_of_all_documents_and_ids_as_strings(spark):
+    rows = [(f"id{i:03}", f"the same line everywhere\nline {i // 2} of a few\nown line {i} here") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(5)
+    assert got(dedup_lines(docs)) == brute(rows)
 
 
 def test_empty_and_clashing_columns(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert dedup_lines(none).count() == 0
-    extra = spark.createDataFrame([(1, "a long enough line", 9, "k")], "doc_id long, text string, n_lines int, other string")
+    own = ("doc", "hi", "lo", "doomed", "shard", "first", "_doc", "_doomed", "_aside3_")
+    extra = spark.createDataFrame([(1, "a long enough line", 9, *own)], ["doc_id", "text", "n_lines", *own])
     out = dedup_lines(extra)
-    assert out.columns == ["doc_id", "text", "other", "n_lines", "n_dropped"]
-    assert out.first()["n_lines"] == 1
+    assert out.columns == ["doc_id", "text", *own, "n_lines", "n_dropped"]
+    assert tuple(out.first()) == (1, "a long enough line", *own, 1, 0)
 
 
 def test_query_on_documents(spark, sf_dir):
@@ -74,22 +84,47 @@ def test_query_on_documents(spark, sf_dir):
 
 
 def tables(index):
-    return [sorted(map(tuple, index.read(n).collect()), key=str) for n in ("postings", "refs")]
+    return [sorted(map(tuple, df.collect())) for df in (index.postings(), index.refs())]
+
 
+def ids(*values):
+    return lambda spark: spark.createDataFrame([(v,) for v in values], "doc long")
 
-def test_index_is_reversible(spark, tmp_path):
+
+def test_index_is_reversible_and_opens_again(spark, tmp_path):
     rows = [r for r in ROWS if r[0] not in (None, 8)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    one = LineIndex(spark, str(tmp_path / "one"), shards=3)
+    path = str(tmp_path / "one")
+    one = LineIndex(spark, path, shard_refs=2)
     one.insert(docs.where("doc_id <= 4"))
     before = tables(one)
     one.insert(docs)  # adds those of 5 and over only
-    assert got(one.dedup(docs)) == brute(rows)
-    one.delete(docs.where("doc_id > 4").select(docs.doc_id.alias("doc")))
-    assert tables(one) == before
-    one.delete(docs.where("doc_id = 1").select(docs.doc_id.alias("doc")))
+    assert one.meta["shards"] > 1 and got(one.dedup(docs)) == brute(rows)
+    again = LineIndex(spark.newSession(), path)  # as after its driver was lost
+    assert (again.version, again.meta) == (one.version, one.meta)
+    again.delete(ids(5, 6, 7, 77)(spark))
+    assert tables(again) == before
+    again.delete(ids(1)(spark))
     rest = [r for r in rows if r[0] in (2, 3, 4)]
-    assert got(one.dedup(docs.where("doc_id in (2, 3, 4)"))) == brute(rest)
+    assert got(again.dedup(docs.where("doc_id in (2, 3, 4)"))) == brute(rest)
+    again.insert(docs)
+    assert tables(again)[1] == tables(one := LineIndex(spark, path))[1] and got(one.dedup(docs)) == brute(rows)
+    again.delete(docs.selectExpr("doc_id AS doc"))
+    assert tables(again) == [[], []]
+
+
+def test_a_change_that_was_lost_leaves_the_last_version(spark, tmp_path):
+    docs = spark.createDataFrame([r for r in ROWS if r[0] in (1, 2, 5)], "doc_id long, text string")
+    path = str(tmp_path / "one")
+    one = LineIndex(spark, path)
+    one.insert(docs.where("doc_id < 5"))
+    before = tables(one)
+    one.commit = lambda change: None  # all is written but the last file
+    one.insert(docs)
+    again = LineIndex(spark, path)
+    assert tables(again) == before
+    again.insert(docs)
+    assert got(again.dedup(docs)) == brute([tuple(r) for r in docs.collect()])
 
 
 def test_cuckoo_filter():
