@@ -106,12 +106,25 @@ def format_events(events: DataFrame, conv: str = "conv_id") -> DataFrame:
 
 
 def turns_as_events(turns: DataFrame, conv: str = "conv_id") -> DataFrame:
-    """A log in which each row (conv, turn, role, text) is one message event, told apart where turns repeat."""
-    return turns.select(
-        conv,
-        F.lit(0).cast("long").alias("seq"),
-        F.lit("message").alias("kind"),
-        F.struct(F.col("turn").cast("long").alias("turn"), F.monotonically_increasing_id().alias("row")).alias("turn"),
-        "role",
-        "text",
-    )
+    """The event log in which rows (conv, turn, role, text) come about as in a live chat, five events each.
+
+    A draft is streamed, then edited (or, by the assistant, regenerated), and the
+    final text streams in three parts. Events have the conversation's sequence
+    numbers but don't come in their order. Rows that repeat a turn are told apart.
+    """
+    said = F.coalesce("text", F.lit(""))
+    third = F.floor(F.length(said) / 3).cast("int")
+    none = F.lit(None).cast("string")
+    again = F.when(F.col("role") == "assistant", "regenerate").otherwise("edit")
+    steps = [
+        (F.lit("message"), F.col("role"), F.lit("a draft that ")),
+        (F.lit("delta"), none, F.lit("nobody keeps")),
+        (again, none, F.left(said, third)),
+        (F.lit("delta"), none, F.substring(said, third + 1, third)),
+        (F.lit("delta"), none, F.substring(said, third * 2 + 1, F.length(said))),
+    ]
+    first = F.coalesce(F.col("turn"), F.lit(0)).cast("long") * len(steps)
+    events = [F.struct((first + k).alias("seq"), kind.alias("kind"), role.alias("role"), text.alias("text")) for k, (kind, role, text) in enumerate(steps)]
+    message = F.struct(F.col("turn").cast("long").alias("turn"), F.monotonically_increasing_id().alias("row"))
+    rows = turns.select(F.col(conv).alias("conv"), message.alias("message"), F.array(*[events[k] for k in (3, 1, 4, 0, 2)]).alias("events"))
+    return rows.select("conv", "message", F.explode("events").alias("e")).select(F.col("conv").alias(conv), "e.seq", "e.kind", F.col("message").alias("turn"), "e.role", "e.text")

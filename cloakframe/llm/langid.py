@@ -63,8 +63,10 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", rules: Profil
     sizes = {r.lang: r["count"] for r in docs.select("lang", F.xxhash64("text").alias("h")).distinct().groupBy("lang").count().collect()}
     if not sizes:
         return {}
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, rules.sample / n))])
-    chosen = docs.where(F.xxhash64("text").cast("double") / F.lit(float(2**64)) + 0.5 <= share[F.col("lang")]).dropDuplicates(["lang", "text"])
+    # A row a language, as the profiles have.
+    shares = docs.sparkSession.createDataFrame([(k, min(1.0, rules.sample / n)) for k, n in sizes.items()], "lang string, share double")
+    drawn = F.xxhash64("text").cast("double") / F.lit(float(2**64)) + 0.5 <= F.col("share")
+    chosen = docs.join(F.broadcast(shares), "lang").where(drawn).dropDuplicates(["lang", "text"]).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, list] = {}
@@ -93,15 +95,22 @@ def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 class Classifier:
-    """Out-of-place distance from a document's ranked n-grams to each profile."""
+    """Out-of-place distance from a document's ranked n-grams to each profile.
+
+    For each code, the languages that have it and their ranks: as many numbers as
+    the profiles have, however many languages there are.
+    """
 
     def __init__(self, profiles: dict[str, np.ndarray], rules: ProfileRules):
         self.rules = rules
         self.names = sorted(profiles)
-        self.codes = np.unique(np.concatenate([profiles[n] for n in self.names])) if profiles else np.zeros(0, np.uint64)
-        self.ranks = np.full((len(self.codes) + 1, len(self.names)), rules.profile, np.int32)
-        for column, name in enumerate(self.names):
-            self.ranks[np.searchsorted(self.codes, profiles[name]), column] = np.arange(len(profiles[name]))
+        codes = np.concatenate([np.zeros(0, np.uint64), *[profiles[n] for n in self.names]])
+        sizes = [len(profiles[n]) for n in self.names]
+        order = np.argsort(codes, kind="stable")
+        self.codes, first = np.unique(codes[order], return_index=True)
+        self.first = np.r_[first, len(codes)]
+        self.lang = np.repeat(np.arange(len(sizes)), sizes)[order]
+        self.rank = np.concatenate([np.zeros(0, np.int64), *[np.arange(n) for n in sizes]])[order].astype(np.int64)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The nearest language and, from 0 to 1, how near it is; ties go to the first name."""
@@ -110,11 +119,13 @@ class Classifier:
             return UNKNOWN, 0.0
         top = ranked(codes, counts, self.rules.document)
         at = np.searchsorted(self.codes, top)
-        known = self.codes[np.minimum(at, len(self.codes) - 1)] == top
-        ranks = self.ranks[np.where(known, at, len(self.codes))]
-        misses = np.abs(ranks - np.arange(len(top), dtype=np.int32)[:, None])
-        misses[ranks == self.rules.profile] = self.rules.profile
-        distance = misses.sum(axis=0)
+        place = np.flatnonzero(self.codes[np.minimum(at, len(self.codes) - 1)] == top) if len(self.codes) else np.zeros(0, np.int64)
+        begin, size = self.first[at[place]], np.diff(self.first)[at[place]]
+        ends = np.cumsum(size)
+        rows = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - size), size)
+        # An n-gram that a profile lacks is out of place by the whole profile.
+        nearer = self.rules.profile - np.abs(self.rank[rows] - np.repeat(place, size))
+        distance = self.rules.profile * len(top) - np.bincount(self.lang[rows], nearer, len(self.names))
         best = int(distance.argmin())
         return self.names[best], float(1 - distance[best] / (self.rules.profile * len(top)))
 
@@ -124,7 +135,8 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text
 
     Null texts, and texts without a letter, are ``und`` with score 0, as all
     texts are where nothing was learned. Columns of the new names are replaced.
-    The profiles broadcast have a fixed size a language.
+    Whole texts count, however long; repeated rows stay. The profiles broadcast
+    have a fixed size a language.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("lang_pred", "score")])
     model = docs.sparkSession.sparkContext.broadcast(Classifier(profiles, rules))

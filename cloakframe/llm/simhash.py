@@ -12,13 +12,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import checkpointed, connected_components, text_bytes
+from cloakframe.llm.common import aside, checkpointed, connected_components, text_bytes
 
 BITS = 64
 SHINGLE = 4
 DISTANCE = 4
 #: Bits of a join key that a fingerprint count of n needs: its logarithm and a few more.
 SPARE_BITS = 3
+#: Tasks that a component's members are dealt to.
+SALTS = 32
+#: A fingerprint with more than this share of all rows is hot.
+HOT = 1e-4
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -125,22 +129,30 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", sh
     fingerprint. Repeated rows stay. No documents, no rows.
 
     Copies collapse to their fingerprint before blocks are made; everything after
-    that has one row a distinct fingerprint and block.
+    that has one row a distinct fingerprint and block. A component's smallest id
+    goes back to its members by a salted join, and to the documents of a hot
+    fingerprint, of which there are fewer than 1 / HOT, by a broadcast.
     """
     made = checkpointed(fingerprints(docs, doc, text, shingle))
-    nodes = checkpointed(made.groupBy("fp").agg(F.min("doc").alias("first")))
-    classes = link_classes(nodes, distance)
-    rooted = nodes.join(classes, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    named = checkpointed(rooted.join(least, "root").select("fp", "component"))
-    return made.join(named, "fp").select("doc", "fp", "component")
+    nodes = checkpointed(made.groupBy("fp").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("rows")))
+    linked = checkpointed(nodes.join(link_classes(nodes, distance), "fp").select("fp", "first", "root"))
+    least = linked.groupBy("root").agg(F.min("first").alias("component"))
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    linked = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(least, ["root", "salt"]).select("fp", "component")
+    named = checkpointed(nodes.join(linked, "fp", "left").select("fp", "rows", F.coalesce("component", "first").alias("component")))
+    total = named.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    hot = named.where(F.col("rows") > HOT * total).select("fp", F.struct("component").alias("held"))
+    both = made.join(F.broadcast(hot), "fp", "left")  # fewer than 1 / HOT rows
+    rest = both.where("held IS NULL").drop("held").join(named.where(F.col("rows") <= HOT * total), "fp")
+    return both.where("held IS NOT NULL").select("doc", "fp", "held.component").unionByName(rest.select("doc", "fp", "component"))
 
 
 def keep_one(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """The documents that are the smallest id of their component, with their columns as they are.
 
-    Rows of null id stay. Rows that share the smallest id all stay.
+    Rows of null id stay. Rows that share the smallest id all stay. Columns of any other name are left alone.
     """
     found = near_duplicates(docs, doc, text, shingle, distance)
+    docs, back = aside(docs, doc, text)
     gone = found.where("doc > component").select(F.col("doc").alias("_gone"))
-    return docs.join(gone, docs[doc] == gone["_gone"], "left_anti")
+    return back(docs.join(gone, docs[doc] == gone["_gone"], "left_anti"))

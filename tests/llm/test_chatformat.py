@@ -1,6 +1,7 @@
 from hashlib import sha256
 
 import pytest
+from pyspark.sql import functions as F
 
 from cloakframe.llm import chatformat as c
 from cloakframe.llm.queries import CONTROL, QUERIES
@@ -54,6 +55,18 @@ def test_repeated_turns_stay(spark):
     assert c.format_events(c.turns_as_events(turns)).first().n_turns == 3
 
 
+def test_the_log_needs_its_sequence(spark):
+    texts = [*NASTY, "abcdefgh", None]
+    turns = spark.createDataFrame([(1, i, ("user", "assistant")[i % 2], t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    log = c.turns_as_events(turns)
+    kinds = {r.kind: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert kinds == {"message": len(texts), "delta": 3 * len(texts), "edit": (len(texts) + 1) // 2, "regenerate": len(texts) // 2}
+    folded = lambda events: [x[1] for x in c.read_back(c.format_events(events).first().formatted)]
+    want = [t or "" for t in texts]
+    assert folded(log) == want and folded(log.repartition(5)) == want
+    assert folded(log.withColumn("seq", F.lit(0))) != want and folded(log.withColumn("seq", -F.col("seq"))) != want
+
+
 def test_query(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     rows += [(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)]
