@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import checkpointed, stored, text_bytes
+from cloakframe.llm.common import aside, checkpointed, stored, text_bytes
 
 WORD = re.compile(r"\w+")
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -24,7 +24,7 @@ class AlignmentRules:
     gram: int = 4
     #: Items are aligned in segments of this many words, each half over the last one.
     segment: int = 64
-    #: Items of fewer words can't be told from chance and match nothing.
+    #: Items of fewer words can't be told from chance when they are edited: they match verbatim only.
     min_words: int = 8
     #: A seed is rare if its document count is at most this many times the median of its segment's seeds that documents
     #: hold, or FEW. Pairs that only other seeds link are aligned where enough of the segment's words are in the passage.
@@ -37,6 +37,8 @@ class AlignmentRules:
     min_score: float = 0.5
     #: Benchmarks with more distinct words than this take joins instead of a broadcast vocabulary.
     broadcast_words: int = 500_000
+    #: The same for more distinct seeds, of 8 bytes each.
+    broadcast_codes: int = 4_000_000
 
 
 def tokens(text: str | None) -> list[str]:
@@ -163,6 +165,53 @@ def passages(docs: DataFrame, seeds: Seeds | None, rules: AlignmentRules) -> Dat
     return docs.mapInArrow(cut, f"doc {docs.schema['doc'].dataType.simpleString()}, start long, body string, codes array<long>")
 
 
+def short_items(items: DataFrame, item: str, text: str, rules: AlignmentRules) -> DataFrame:
+    """(item, code, size, body): the items that have words, but fewer than ``min_words``."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            said = [tokens(v) for v in batch.column(1).to_pylist()]
+            rows = [i for i, ws in enumerate(said) if 0 < len(ws) < rules.min_words]
+            codes = np.concatenate([np.zeros(0, np.uint64), *[gram_codes(np.array([word_hash(w) for w in said[i]], np.uint64), len(said[i])) for i in rows]])
+            columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(codes.view(np.int64)), pa.array([len(said[i]) for i in rows], pa.int32()), pa.array([" ".join(said[i]) for i in rows], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["item", "code", "size", "body"])
+
+    items = items.select(F.col(item).alias("item"), F.col(text).alias("text"))
+    return items.mapInArrow(read, f"item {items.schema['item'].dataType.simpleString()}, code long, size int, body string")
+
+
+def verbatim(docs: DataFrame, short: DataFrame, rules: AlignmentRules) -> DataFrame:
+    """(item, doc, score, end_word) of short items: ``gram`` words or more in a row, or, of fewer, as the whole text."""
+    sizes = sorted(r["size"] for r in short.select("size").distinct().collect())
+    bodies = short.select("body").distinct()
+    small = bodies.limit(rules.broadcast_words + 1).count() <= rules.broadcast_words
+    rows = bodies.collect() if small else []
+    wanted = docs.sparkSession.sparkContext.broadcast(({w: word_hash(w) for r in rows for w in r.body.split(" ")}, {r.body for r in rows}))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, bodies = wanted.value
+        for batch in batches:
+            rows, codes, made, ends = [], [], [], []
+            for row, value in enumerate(batch.column(1)):
+                ws = tokens(value.as_py())
+                hashes = np.array([known.get(w, 0) if small else word_hash(w) for w in ws], np.uint64)
+                for size in sizes:
+                    if size < rules.gram and size != len(ws):
+                        continue
+                    found = gram_codes(hashes, size)
+                    for i in np.flatnonzero(found).tolist():
+                        body = " ".join(ws[i : i + size])
+                        if not small or body in bodies:
+                            rows.append(row)
+                            codes.append(found[i])
+                            made.append(body)
+                            ends.append(i + size)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(np.array(codes, np.uint64).view(np.int64)), pa.array(made, pa.string()), pa.array(ends, pa.int64())], ["doc", "code", "body", "end_word"])
+
+    held = docs.mapInArrow(find, f"doc {docs.schema['doc'].dataType.simpleString()}, code long, body string, end_word long")
+    return held.join(short, ["code", "body"]).select("item", "doc", F.lit(1.0).alias("score"), "end_word")
+
+
 def smith_waterman(segments: np.ndarray, bodies: np.ndarray, rules: AlignmentRules) -> tuple[np.ndarray, np.ndarray]:
     """The best local alignment score of each pair of rows, and the body position at which it ends.
 
@@ -234,9 +283,12 @@ def contaminated(
     case, punctuation and layout don't matter. score is the best alignment's
     share of what a verbatim copy of the item's segment scores; 1 is verbatim,
     and min_score lets about a third of the words differ. end_word is where the
-    alignment ends in the document's words. Items of fewer than min_words words,
-    null or empty ones match nothing; repeated items give a row for each item id.
-    Rows of one doc id, or of null id, are one document. Empty tables, no rows.
+    alignment ends in the document's words. Items of fewer than min_words words
+    match verbatim only, and those of fewer than ``gram`` words only where they
+    are the whole text: one word is no benchmark passage. Null items and those
+    without words match nothing; repeated items give a row for each item id.
+    Rows of one doc id, or of null id, are one document. Very long texts are read
+    whole; only the passages around seeds are kept. Empty tables, no rows.
 
     The corpus is read twice: to count the documents of each seed, and to cut
     out the passages around seeds. A seed is rare beside the other seeds of its
@@ -252,12 +304,13 @@ def contaminated(
     seeds = segments.select("seg", F.explode("codes").alias("code")).distinct()
     vocabulary = segments.select(F.explode(F.split("body", " ")).alias("word")).distinct()
     small = vocabulary.limit(rules.broadcast_words + 1).count() <= rules.broadcast_words
+    small = small and seeds.select("code").distinct().limit(rules.broadcast_codes + 1).count() <= rules.broadcast_codes
     known = {r.word: word_hash(r.word) for r in vocabulary.collect()} if small else {}
 
     def lookup(codes: DataFrame) -> Seeds | None:
         if not small:
             return None
-        rows = codes.select("code").distinct().toPandas()["code"].to_numpy(np.int64)  # as bounded as the vocabulary's segments
+        rows = codes.select("code").distinct().toPandas()["code"].to_numpy(np.int64)  # broadcast_codes at most
         return Seeds(spark, rows, known)
 
     found = seed_rows(docs, lookup(seeds), rules)
@@ -278,11 +331,18 @@ def contaminated(
     pairs = links.join(around.select("passage", "doc", "start", "body").distinct(), "passage")
     named = segments.select("seg", "item", F.col("body").alias("segment"))
     scored = align(pairs.join(named, "seg").where(F.col("rare") | within_reach(rules)), rules)
+    short = checkpointed(short_items(items, item, item_text, rules))
+    if not short.isEmpty():
+        scored = scored.unionByName(verbatim(docs, short, rules))
     best = scored.groupBy("doc", "item").agg(F.max(F.struct("score", "end_word")).alias("best"))
     return best.select("doc", "item", "best.score", "best.end_word")
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, doc: str = "doc_id", **names) -> DataFrame:
-    """The documents that hold no copy of an item, with their columns as they are; rows of null id stay."""
-    found = contaminated(docs, items, doc, **names).select(F.col("doc").alias("_found")).distinct()
-    return docs.join(found, docs[doc] == found["_found"], "left_anti")
+def drop_contaminated(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", **names) -> DataFrame:
+    """The documents that hold no copy of an item, with their columns as they are, whatever their names.
+
+    Rows of null id stay. All rows of an id go if one of them holds a copy; see contaminated for the other cases.
+    """
+    docs, back = aside(docs, doc, text)
+    found = contaminated(docs, items, doc, text, **names).select(F.col("doc").alias("_found")).distinct()
+    return back(docs.join(found, docs[doc] == found["_found"], "left_anti"))

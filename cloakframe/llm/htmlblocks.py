@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 from typing import NamedTuple
 
@@ -31,8 +32,14 @@ ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 CONTAINERS = frozenset("ul ol menu dl table tbody thead tfoot select html".split())
 
 
+#: Steps of its path that a block keeps: the work a block costs doesn't grow with the nesting around it.
+STEPS = 16
+
+
 class Block(NamedTuple):
+    #: The last steps of the path, and how many there are in all.
     path: tuple[str, ...]
+    depth: int
     text: str
     link_chars: int
 
@@ -49,11 +56,13 @@ def blocks(html: str | None) -> list[Block]:
     """The page's blocks of text, in order. White space is collapsed, character references are decoded once.
 
     Comments, scripts, styles and other raw elements are left out. Any input
-    gives a result: unclosed and stray tags are taken as browsers mostly do.
+    gives a result: unclosed and stray tags are taken as browsers mostly do. The
+    time is in proportion to the page, however deep it nests.
     """
     html = html or ""
     found: list[Block] = []
     stack: list[tuple[str, str]] = []
+    count: Counter[str] = Counter()  # of the open elements, by name
     pieces: list[str] = []
     links = link_depth = 0
     at = 0
@@ -62,7 +71,7 @@ def blocks(html: str | None) -> list[Block]:
         nonlocal links
         text = " ".join("".join(pieces).split())
         if text:
-            found.append(Block(tuple(s for _, s in stack), text, links))
+            found.append(Block(tuple(s for _, s in stack[-STEPS:]), len(stack), text, links))
         pieces.clear()
         links = 0
 
@@ -77,6 +86,7 @@ def blocks(html: str | None) -> list[Block]:
         nonlocal link_depth
         for name, _ in stack[index:]:
             link_depth -= name == "a"
+            count[name] -= 1
         del stack[index:]
 
     while m := MARKUP.search(html, at):
@@ -89,9 +99,8 @@ def blocks(html: str | None) -> list[Block]:
         if m["close"] or m["close2"]:
             if name in BLOCKS:
                 flush()
-            index = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if index is not None:
-                close_to(index)
+            if count[name]:
+                close_to(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
             continue
         attrs = m["attrs"] or m["attrs2"] or ""
         if name in FOREIGN and SLASH.search(attrs):
@@ -104,15 +113,18 @@ def blocks(html: str | None) -> list[Block]:
             pieces.append(" ")
         if name in BLOCKS:
             flush()
-            if name in ENDS or stack and any(s[0] == "p" for s in stack):
-                wanted = (*ENDS.get(name, ()), "p")
+            wanted = (*ENDS.get(name, ()), "p")
+            if any(count[w] for w in wanted):
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] in CONTAINERS and name not in ("tr", "body"):
                         break
                     if stack[i][0] in wanted:
                         close_to(i)
-        if name not in VOID and not (name not in BLOCKS and SLASH.search(attrs) and any(s[0] == "math" for s in stack)):
+                        if not any(count[w] for w in wanted):
+                            break
+        if name not in VOID and not (name not in BLOCKS and SLASH.search(attrs) and count["math"]):
             stack.append((name, signature(name, attrs)))
+            count[name] += 1
             link_depth += name == "a"
     say(html[at:])
     flush()

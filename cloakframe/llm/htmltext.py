@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from zlib import crc32
@@ -25,7 +25,7 @@ NUMBERS = 8
 class LabellerRules:
     hidden: int = 24
     #: Generated pages to train on, passes over them, and pages to a step.
-    pages: int = 900
+    pages: int = 1800
     passes: int = 6
     batch: int = 30
     rate: float = 0.01
@@ -53,7 +53,7 @@ def numbers(page: list[Block]) -> np.ndarray:
     for i, b in enumerate(page):
         size = len(b.text)
         n = b.text.count(" ") + 1
-        out[i] = (np.log1p(size) / 5, np.log1p(n) / 4, min(1, b.link_chars / size), min(0.3, sum(map(b.text.count, ".,;!?")) / size * 5), b.text[-1] in ".!?…", i / len(page), len(b.path) / 10, b.text[:1].isupper())
+        out[i] = (np.log1p(size) / 5, np.log1p(n) / 4, min(1, b.link_chars / size), min(0.3, sum(map(b.text.count, ".,;!?")) / size * 5), b.text[-1] in ".!?…", i / len(page), min(3, b.depth / 10), b.text[:1].isupper())
     return out
 
 
@@ -222,6 +222,9 @@ NOTICES = ("div cookie", "div notice", "div cookie banner", "div consent", "div
 ADS = ("div ad", "div ads", "div advert", "div banner", "div sponsored", "div promo", "aside ad", "div advertisement", "section sponsor")
 COMMENTS = ("div comments", "section comments", "ul comment list", "div comment thread", "div disqus thread", "ol commentlist", "div replies", "section responses")
 SHARES = ("div share", "div social", "ul share links", "div tags", "div author box")
+#: What the parts around an article commonly say.
+MENU_WORDS = "home news about contact us sports weather archive login register search sitemap help services products blog gallery events careers navigation menu page talk edit history read view tools print".split()
+FOOT_WORDS = "copyright all rights reserved privacy policy terms of use contact last modified this page was powered by disclaimers about".split()
 NOTICE_WORDS = "we use cookies accept privacy policy agree consent settings subscribe newsletter terms".split()
 COMMENT_WORDS = "reply said ago comment user posted like report great thanks".split()
 
@@ -234,7 +237,7 @@ class Writer:
         letters = rng.choice(("aeiou", "aeiouäöü", "aeéèiouê", "aeiouáóí"))
         self.syllables = ["".join((rng.choice("bcdfghlmnprstvw"), rng.choice(letters), rng.choice(("", "n", "r", "s", "t")))) for _ in range(60)]
         self.short = [rng.choice(self.syllables) for _ in range(12)]
-        self.junk = rng.choice(("", "", "", "", "###", "%%%", "&amp;&amp;", "$$$"))
+        self.junk = rng.choice(("", "", "", "", "", "###", "%%%", "&amp;&amp;", "$$$", " |", " |", " /", " -"))
 
     def word(self) -> str:
         if self.rng.random() < 0.35:
@@ -259,14 +262,52 @@ class Writer:
         glue = self.rng.choice(("-", " ", "_"))
         return f'<{name} {self.rng.choice(("class", "class", "id"))}="{glue.join(names)}">{inner}</{name}>'
 
+    def pick(self) -> str:
+        """A word as it stands in a text, with the mark after it or a capital."""
+        word = self.word()
+        return (word.capitalize() if self.rng.random() < 0.4 else word) + self.rng.choice(("", "", "", ".", ",", ":"))
+
+    def common(self, words: list[str], low: int, high: int) -> str:
+        return " ".join(self.rng.choices(words, k=self.rng.randint(low, high))).capitalize()
+
     def links(self, low: int, high: int) -> str:
-        made = [f'<a href="/{i}">{self.words(1, 3)}</a>' for i in range(self.rng.randint(low, high))]
+        style = self.rng.random()
+        text = lambda: self.common(MENU_WORDS, 1, 2) if style < 0.15 else self.words(1, 3) if style < 0.6 else self.pick()
+        made = [f'<a href="/{i}">{text()}</a>' for i in range(self.rng.randint(low, high))]
         style = self.rng.random()
         if style < 0.6:
             return f"<ul>{''.join(f'<li>{x}</li>' for x in made)}</ul>"
         return self.rng.choice((" | ", " ", " &middot; ")).join(made) if style < 0.8 else "".join(f"<div>{x}</div>" for x in made)
 
 
+def old_page(w: Writer, title: str, kept: Callable[[str], str], foot: Callable[[], str]) -> str:
+    """A page laid out by tables, without names: a head, a menu beside the article, and a foot."""
+    rng = w.rng
+    breaks = rng.choice(("<br><br>", "<p>", "<br>\n<br>"))
+    body = [kept(w.sentences(1, rng.choice((2, 5, 9)))) for _ in range(rng.randint(1, 6))]
+    text = "".join(f"<p>{x}</p>" for x in body) if breaks == "<p>" else "".join(f"<div>{x}</div>" for x in body)
+    menu = "".join(f'<a href="{w.word()}.html">{w.common(MENU_WORDS, 1, 2) if rng.random() < 0.6 else w.words(1, 2)}</a>{rng.choice(("<br>", " | ", "<br><br>"))}' for _ in range(rng.randint(2, 9)))
+    heading = rng.choice(("<h1>{}</h1>", "<h2>{}</h2>", "<center><font size=5><b>{}</b></font></center>")).format(kept(title))
+    cells = [f'<td width="{rng.randint(100, 180)}" valign=top>{menu}</td>', f"<td>{heading}{text}</td>"]
+    if rng.random() < 0.3:
+        cells.reverse()
+    head = f'<tr><td colspan="2">{rng.choice((f"<img src=logo.gif> {w.words(1, 4)}", f"<b>{w.words(1, 3)}</b>", w.words(1, 4)))}</td></tr>' if rng.random() < 0.7 else ""
+    tail = f'<tr><td colspan="2" align="center">{rng.choice(("{}", "<font size=1>{}</font>", "<small>{}</small>")).format(foot())}</td></tr>'
+    return f"<html><head><title>{title}</title></head><body bgcolor=white><table>{head}<tr>{''.join(cells)}</tr>{tail}</table></body></html>"
+
+
+def wiki_page(w: Writer, title: str, kept: Callable[[str], str], foot: Callable[[], str]) -> str:
+    """A page of an encyclopaedia: contents and edit links in the article's element, menus after it."""
+    rng = w.rng
+    portlet = lambda: f'<div class="portlet" id="p-{w.word()}"><h3>{w.common(MENU_WORDS, 1, 2)}</h3>{w.links(2, 6)}</div>'
+    sections = "".join(f"<h2>{kept(w.words(1, 4))}</h2>" + "".join(f"<p>{kept(w.sentences(1, 6))}</p>" for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 4)))
+    contents = f'<div id="toc" class="toc"><h2>{rng.choice(("Contents", w.word()))}</h2>{w.links(2, 6)}</div>' if rng.random() < 0.5 else ""
+    hat = f'<div id="jump-to-nav">{w.common(MENU_WORDS, 2, 4)}: {w.links(1, 2)}</div>' if rng.random() < 0.5 else ""
+    article = f'<div id="content" class="mw-body"><h1 id="firstHeading">{kept(title)}</h1>{hat}<div id="bodyContent"><p>{kept(w.sentences(1, 5))}</p>{contents}{sections}</div></div>'
+    around = f'<div id="mw-navigation"><h2>{rng.choice(("Navigation menu", w.common(MENU_WORDS, 1, 3)))}</h2>{"".join(portlet() for _ in range(rng.randint(1, 4)))}</div><div id="footer">{foot()}</div>'
+    return f"<!DOCTYPE html><html><head><title>{title}</title></head><body>{article}{around}</body></html>"
+
+
 def generate_page(rng: random.Random) -> tuple[str, set[str]]:
     """A page from a random template, and the texts of its article's blocks."""
     w = Writer(rng)
@@ -284,6 +325,8 @@ def generate_page(rng: random.Random) -> tuple[str, set[str]]:
         if rng.random() < 0.2:
             body = f"<{(t := rng.choice(('b', 'i', 'em', 'span')))}>{body}</{t}>"
         style = rng.random()
+        if plain and rng.random() < 0.35:
+            return f"<div>{kept(body)}</div>"
         if style < 0.12:
             return f"<p><b>{kept(body)}<br>"
         if style < 0.2:
@@ -321,7 +364,16 @@ def generate_page(rng: random.Random) -> tuple[str, set[str]]:
         rows = "".join(f'<{(t := rng.choice(("li", "div")))} class="comment"><span>{w.word()} {rng.choice(COMMENT_WORDS)}</span><p>{w.sentences(1, 4)} {rng.choice(COMMENT_WORDS)}</p></{t}>' for _ in range(rng.randint(1, 6)))
         return other(COMMENTS, f"<h3>{rng.choice(COMMENT_WORDS)} {w.words(1, 2)}</h3>{rows}")
 
+    def foot() -> str:
+        if rng.random() < 0.4:
+            said = f"{rng.choice(('Copyright', '&copy;', 'Copyright &copy;'))} {rng.randint(1996, 2025)} {w.words(1, 3)}" + (f" {w.common(FOOT_WORDS, 1, 8)}." if rng.random() < 0.6 else "")
+            return said if rng.random() < 0.5 else f"<p>{said}</p>{w.links(0, 4)}"
+        return rng.choice((f"&copy; {w.words(1, 3)} &middot; {w.sentences(1, 3)}", f"<p>&copy; {w.sentences(1, 2)}</p>", w.links(2, 5) + f"<p>{w.sentences(1, 2)}</p>"))
+
     title = w.sentences(1, 1)
+    layout = rng.random()
+    if layout < 0.08:
+        return (old_page if layout < 0.05 else wiki_page)(w, title, kept, foot), truth
     parts = [paragraph() for _ in range(rng.choice((1, 2, 4, 8, 14)))]
     if rng.random() < 0.3:
         parts.insert(rng.randint(0, len(parts)), f"<h2>{kept(w.words(2, 6))}</h2>")
@@ -342,7 +394,7 @@ def generate_page(rng: random.Random) -> tuple[str, set[str]]:
     if rng.random() < 0.35:
         after.append(comments())
     if rng.random() < 0.8:
-        after.append(other(FEET, rng.choice((f"&copy; {w.words(1, 3)} &middot; {w.sentences(1, 3)}", f"<p>&copy; {w.sentences(1, 2)}</p>", w.links(2, 5) + f"<p>{w.sentences(1, 2)}</p>"))))
+        after.append(other(FEET, foot()))
     if rng.random() < 0.15:
         body = "".join(before) + f"<div>{article}{''.join(after)}</div>"
     else:
@@ -373,8 +425,9 @@ def extract(pages: DataFrame, html: str = "html", rules: LabellerRules = Labelle
     """Pages with text, the main blocks joined by line breaks, and n_chars, its code points.
 
     Null or empty pages, and pages without main text, give an empty text. Blocks
-    are whole: nothing is cut. Columns of the new names are replaced. The network
-    is trained on the driver from generated pages and has a fixed size.
+    are whole: nothing is cut, and deep nesting costs no more than its markup.
+    Repeated rows stay. Columns of the new names are replaced, others stay. The
+    network is trained on the driver from generated pages and has a fixed size.
     """
     pages = pages.drop(*[c for c in pages.columns if c.lower() in ("text", "n_chars")])
     model = pages.sparkSession.sparkContext.broadcast(trained(rules))

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import let, spaced, stored, words
+from cloakframe.llm.common import aside, let, spaced, stored, words
 
 WINDOW = 8
 
@@ -109,25 +109,23 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", rules: Qual
     Documents are measured once, and stored in the shared folder with the columns
     that the caller reads. Hosts are aggregated with map-side sums, so a hot host
     costs a row for each task. Their table is joined back by Spark's choice of join.
+    Rows are judged one by one, so repeated ones stay and count twice for their
+    host; texts are measured whole, however long.
     """
     new = ["m", "base_failed", "doc_failed", "host_rate", "host_ok", "kept"]
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in new])
+    docs, back = aside(docs.drop(*[c for c in docs.columns if c.lower() in new or c in drop and c not in (host, text)]), host, text)
     m = F.col("m")
     base = (m["words"]["n"] < rules.min_words) | (100 * m["words"]["repeat"] > rules.max_repeat_percent * m["words"]["n"])
     soft = (100 * m["n_symbols"] > rules.max_symbol_percent * m["words"]["n"]) | (
         100 * m["lines"]["dup"] > rules.max_dup_line_percent * m["lines"]["n"]
     )
     measured = measure(docs, text)
-    measured = stored(measured.drop(*drop).withColumn("base_failed", base).withColumn("doc_failed", F.col("base_failed") | soft))
+    measured = stored(measured.drop(*[c for c in drop if c in (host, text)]).withColumn("base_failed", base).withColumn("doc_failed", F.col("base_failed") | soft))
     hosts = host_rates(measured.select(F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit("")).alias("_host"), "doc_failed"))
     # Stored, so that its size is known: a small table is broadcast without dealing the documents out by host.
     hosts = stored(hosts.select("_host", "host_rate", (F.col("host_rate") <= rules.max_host_rate).alias("host_ok")))
-    return (
-        measured.withColumn("_host", F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit("")))
-        .join(hosts, "_host", "left")
-        .drop("_host")
-        .withColumn("kept", ~F.col("doc_failed") & F.col("host_ok"))
-    )
+    named = measured.withColumn("_host", F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit("")))
+    return back(named.join(hosts, "_host", "left").drop("_host").withColumn("kept", ~F.col("doc_failed") & F.col("host_ok")))
 
 
 def host_rates(failures: DataFrame) -> DataFrame:

@@ -58,6 +58,8 @@ def test_against_all_pairs(spark, limit):
     want = {}
     for i, t in docs:
         for j, q in items:
+            if j == 8 and t and "too short" in t:
+                want[i, j] = 1.0
             if q and 8 <= len(q.split()) <= 64 and t and len(t) < 5000 and (s := slow_score(q, t)) >= 0.5:
                 want[i, j] = s
     assert {k for k in got if k[1] != 11} == set(want)
@@ -72,12 +74,12 @@ def test_many_copies_of_an_edited_item(spark, limit):
     items = [(i, prose(rng, 30)) for i in range(4)]
     docs = [(i, prose(rng, 40)) for i in range(200)]
     want = {}
-    for i, copies in ((0, 9), (1, 100), (2, 160)):
+    for i, copies in ((0, 3), (1, 12), (2, 2000)):
         ws = items[i][1].split()
         copy = " ".join("changed" if k % 5 == 4 else w for k, w in enumerate(ws))
         assert (score := slow_score(items[i][1], copy)) >= 0.5
-        want |= {(1000 * (i + 1) + k, i): score for k in range(copies)}
-        docs += [(1000 * (i + 1) + k, f"{prose(rng, 5)} {copy} {prose(rng, 5)}") for k in range(copies)]
+        want |= {(10_000 * (i + 1) + k, i): score for k in range(copies)}
+        docs += [(10_000 * (i + 1) + k, f"{prose(rng, 5)} {copy} {prose(rng, 5)}") for k in range(copies)]
         docs += [(9000 + 100 * i + k, f"{prose(rng, 5)} {' '.join(ws[k : k + 4])} {prose(rng, 5)}") for k in range(1, 27) if k % 5]
     frame, bench = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc, r.item): r.score for r in d.contaminated(frame, bench, rules=d.AlignmentRules(broadcast_words=limit)).collect()}
@@ -85,6 +87,15 @@ def test_many_copies_of_an_edited_item(spark, limit):
     assert all(got[k] >= s - 1e-9 for k, s in want.items())
 
 
+@pytest.mark.parametrize("limit", [500_000, 0])
+def test_short_items_match_verbatim(spark, limit):
+    bench = spark.createDataFrame([(1, "Five words are in this"), (2, "yes"), (3, "one two three four"), (4, "yes"), (5, "")], "item_id string, text string")
+    rows = [(1, "so five WORDS are, in this text"), (2, "five words were in this"), (3, "Yes!"), (4, "yes and no"), (5, "one two three"), (6, "x one two three four five words are in this"), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc, r.item, r.score, r.end_word) for r in d.contaminated(docs, bench, rules=d.AlignmentRules(broadcast_words=limit)).collect()}
+    assert got == {(1, "1", 1.0, 6), (3, "2", 1.0, 1), (3, "4", 1.0, 1), (6, "3", 1.0, 5), (6, "1", 1.0, 10)}
+
+
 def test_long_item_by_segment(spark):
     items, docs = corpus()
     long = items[11][1]

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from html import unescape
 
 import numpy as np
@@ -81,6 +82,38 @@ def test_held_out_templates():
     assert right >= 0.98 * total
 
 
+#: Pages by hand, not of the generator: a layout by tables, an encyclopaedia's, and one without any name.
+BY_HAND = [
+    ("<html><body><table><tr><td><a href=a>Home</a> <a href=b>News</a></td><td><h1>A walk in the hills</h1><p>We set out at dawn and walked along the ridge until noon.</p>"
+     "<p>The weather was kind to us, and the view was wide.</p></td></tr><tr><td colspan=2>Copyright 2001 Town</td></tr></table></body></html>",
+     "A walk in the hills\nWe set out at dawn and walked along the ridge until noon.\nThe weather was kind to us, and the view was wide."),
+    ("<html><body><div id=content><h1>Otter</h1><p>The otter is a mammal that lives near rivers and eats fish.</p><h2>Habitat</h2><p>It is found in most of the country, and builds holts in the banks.</p></div>"
+     "<div id=mw-navigation><h2>Navigation menu</h2><ul><li><a href=x>Main page</a><li><a href=y>Talk</a></ul></div><div id=footer>This page was last modified in May.</div></body></html>",
+     "Otter\nThe otter is a mammal that lives near rivers and eats fish.\nHabitat\nIt is found in most of the country, and builds holts in the banks."),
+    ("<html><body><div><div><a href=/>Home</a> <a href=/c>Contact</a></div><div><h1>News of the day</h1><div>The mayor opened the new bridge on Sunday, and many people came to see it.</div>"
+     "<p>The area of the span is <math><mi>a</mi><mo>=</mo><mn>3</mn></math> units, as the engineer told the reporters.</p></div><div>All rights reserved</div></div></body></html>",
+     "News of the day\nThe mayor opened the new bridge on Sunday, and many people came to see it.\nThe area of the span is a=3 units, as the engineer told the reporters."),
+]
+
+
+@pytest.mark.parametrize("html,want", BY_HAND)
+def test_pages_by_hand(html, want):
+    page = blocks(html)
+    assert "\n".join(b.text for b, p in zip(page, h.label([page], h.trained())[0], strict=True) if p >= 0.5) == want
+
+
+def test_deep_nesting_takes_time_in_proportion(spark):
+    took = {}
+    for n in (4000, 16_000):
+        began = time.perf_counter()
+        page = blocks("<b>x<div>y" * n + "</i>" * n + "<li>z" * n)
+        took[n] = time.perf_counter() - began
+        assert len(page) == 2 * n + 1 and all(len(b.path) <= 16 for b in page) and page[n].depth > n
+    assert took[16_000] < 12 * took[4000] + 0.5
+    rows = h.extract(spark.createDataFrame([(1, "<b>x<div>y" * 40_000)], "page_id long, html string")).collect()
+    assert len(rows) == 1
+
+
 def test_edge_cases(spark):
     rows = [(1, None, "u"), (2, "", None), (3, "<p", "u"), (4, "<nav><a href=/>x</a></nav>", "u"), (4, "<article><p>" + "Long words here. " * 9000 + "</article>", "u")]
     pages = spark.createDataFrame(rows, "page_id long, html string, text string")
