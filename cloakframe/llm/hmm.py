@@ -529,7 +529,7 @@ def judged(docs: DataFrame, chunks: DataFrame, learned: tuple[Model, Vocabulary,
         count = np.r_[vocabulary.counts, c[::-1]][at]  # the j-th word apart is at -1 - j
         alone = np.r_[np.arange(len(vocabulary.counts)) >= rare, number[::-1] == rare][at]
         row = np.repeat(np.arange(len(sizes)), sizes)
-    XX
+        summed = lambda x: np.bincount(row, x, len(sizes)).astype(float)
         scores = summed(np.where(alone, np.log10((count + 1) / rare_total), 0.0))
         parts = [np.where(s >= base, np.r_[np.zeros(base, np.int64), number][np.minimum(s, base + n - 1)], s) for s in sequences(at, sizes, rare, base)]
         local = Model(model.start, model.move, np.vstack([model.emit, emit]))
