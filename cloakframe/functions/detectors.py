@@ -1,9 +1,11 @@
-"""Detectors: each maps a text column to an array of spans. All but addresses are native expressions."""
+"""Detectors: each maps a text column to an array of spans, in native expressions."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from cloakframe.functions import policy
 from cloakframe.functions.address import address_spans
 from cloakframe.functions.lexicon import Lexicon
-from cloakframe.functions.spans import matches, no_spans, typed
+from cloakframe.functions.spans import let, matches, no_spans, typed
 
 #: Priorities, and the patterns of the closed forms. (?U) gives Java the Unicode classes.
 STRUCTURED, CONTEXTUAL, GAZETTEER, MODEL = 100, 80, 60, 40
@@ -47,6 +49,12 @@ class Detector:
     entity_type: str
     priority: int
     find: Callable[[Column, Context], Column]
+    #: What a text must have for the detector to look at it; detectors of one gate share the test.
+    gate: str = ""
+    #: Further kinds among the spans: name, priority, and which they are. The others are of the detector's own.
+    also: tuple[tuple[str, int, Callable[[Column], Column]], ...] = ()
+    #: Whether a span counts, given itself and the character after it.
+    accept: Callable[[Column, Column], Column] | None = None
 
 
 @dataclass(frozen=True)
@@ -67,7 +75,7 @@ def digits(value: Column) -> Column:
 
 
 def email(text: Column, c: Context) -> Column:
-    return F.when(F.contains(text, F.lit("@")), matches(text, EMAIL)).otherwise(matches(F.lit(""), EMAIL))
+    return matches(text, EMAIL)
 
 
 def website(text: Column, c: Context) -> Column:
@@ -79,19 +87,22 @@ def ipv4(text: Column, c: Context) -> Column:
     return found if c.ip_before_stop else F.filter(found, lambda s: F.substring(text, s["end"] + 1, 1) != ".")
 
 
-def card(text: Column, c: Context) -> Column:
-    good = lambda s: F.length(digits(s["text"])).between(13, 19) & F.substring(digits(s["text"]), 1, 1).isin("3", "4", "5", "6") & F.call_function("luhn_check", digits(s["text"]))
-    return F.filter(matches(text, CARD), good)
+def is_card(s: Column, following: Column) -> Column:
+    return let(digits(s["text"]), lambda d: F.length(d).between(13, 19) & F.left(d, F.lit(1)).isin("3", "4", "5", "6") & F.call_function("luhn_check", d))
 
 
-def phone_plus(text: Column, c: Context) -> Column:
-    return F.filter(matches(text, PHONE_PLUS), lambda s: F.length(digits(s["text"])) >= 8)
+def phones(text: Column, c: Context) -> Column:
+    """Numbers with a plus, and labelled ones that aren't these; eight digits or more."""
+    found = lambda pattern, labelled: F.filter(
+        F.transform(matches(text, pattern, labelled), lambda s: s.withField("labelled", F.lit(labelled))), lambda s: F.length(digits(s["text"])) >= 8
+    )
+    first = F.when(F.contains(text, F.lit("+")), found(PHONE_PLUS, False)).otherwise(no_phones())
+    others = lambda plus: F.filter(found(PHONE_LABEL, True), lambda s: ~F.exists(plus, lambda f: (f["start"] == s["start"]) & (f["end"] == s["end"])))
+    return let(first, lambda plus: F.concat(plus, others(plus)))
 
 
-def phone_label(text: Column, c: Context) -> Column:
-    first = phone_plus(text, c)
-    found = F.filter(matches(text, PHONE_LABEL, True), lambda s: F.length(digits(s["text"])) >= 8)
-    return F.filter(found, lambda s: ~F.exists(first, lambda f: (f["start"] == s["start"]) & (f["end"] == s["end"])))
+def no_phones() -> Column:
+    return F.array().cast("array<struct<start:int,end:int,text:string,labelled:boolean>>")
 
 
 def din_bare(text: Column, c: Context) -> Column:
@@ -111,46 +122,79 @@ def corporate(text: Column, c: Context) -> Column:
     )
 
 
+def term_words(term: Column) -> Column:
+    return F.array_remove(F.split(term, r"(?U)[^\w]+"), "")
+
+
 def term_pattern(terms: Column) -> Column:
     """One alternation for an array of terms: longest first, any punctuation between their words, not inside a word or address."""
-    quoted = F.transform(terms, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))
-    parts = lambda t: F.array_remove(F.split(t, r"(?U)[^\w]+"), "")
-    one = lambda q: F.when(F.size(parts(q["t"])) > 0, F.array_join(parts(q["t"]), r"[\s,.\-–—&/]+")).otherwise(F.concat(F.lit(r"\Q"), q["t"], F.lit(r"\E")))
-    return F.concat(F.lit(r"(?iuU)(?<![\w@.])(?:"), F.array_join(F.transform(F.array_sort(quoted), one), "|"), F.lit(r")(?![\w@])"))
+    ranked = F.transform(F.array_sort(F.transform(terms, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), lambda q: q["t"])
+    one = lambda t: F.when(F.size(term_words(t)) > 0, F.array_join(term_words(t), r"[\s,.\-–—&/]+")).otherwise(F.concat(F.lit(r"\Q"), t, F.lit(r"\E")))
+    return F.concat(F.lit(r"(?iuU)(?<![\w@.])(?:"), F.array_join(F.transform(ranked, one), "|"), F.lit(r")(?![\w@])"))
 
 
 def gazetteer(text: Column, terms: Column | None) -> Column:
+    """Spans of a document's terms. Only terms whose first word the text has go into its pattern, which few texts need."""
     none = matches(F.lit(""), EMAIL)
     if terms is None:
         return none
-    return F.when(F.coalesce(F.size(terms), F.lit(0)) > 0, matches(text, term_pattern(terms))).otherwise(none)
+    first = lambda t: F.coalesce(F.try_element_at(term_words(t), F.lit(1)), t)
+    present = let(F.lower(text), lambda low: F.filter(terms, lambda t: F.contains(low, F.lower(first(t)))))
+    found = lambda own: F.when(F.size(own) > 0, let(term_pattern(own), lambda p: matches(text, p))).otherwise(none)
+    return F.when(F.coalesce(F.size(terms), F.lit(0)) > 0, let(present, found)).otherwise(none)
 
 
 #: The order decides ties between spans of equal priority, length and start.
 REGISTRY: tuple[Detector, ...] = (
-    Detector("regex:email", "EMAIL", STRUCTURED, email),
-    Detector("regex:corporate", "ORG", CONTEXTUAL, corporate),
-    Detector("regex:website", "WEBSITE", STRUCTURED, website),
-    Detector("regex:ssn", "SSN", STRUCTURED, lambda t, c: matches(t, SSN)),
-    Detector("regex:credit_card", "CREDIT_CARD", STRUCTURED, card),
-    Detector("regex:ip", "IP_ADDRESS", STRUCTURED, ipv4),
-    Detector("regex:phone", "PHONE", STRUCTURED, phone_plus),
-    Detector("regex:phone", "PHONE", CONTEXTUAL, phone_label),
-    Detector("contextual:din", "DIN", STRUCTURED, lambda t, c: matches(t, DIN_LABEL, True)),
-    Detector("contextual:din:gazetteer", "DIN", GAZETTEER, din_bare),
-    Detector("contextual:dob", "DATE_OF_BIRTH", CONTEXTUAL, lambda t, c: matches(t, BIRTH, True)),
-    Detector("contextual:address", "ADDRESS", CONTEXTUAL, lambda t, c: F.filter(address_spans(t), lambda s: s["pin"])),
-    Detector("contextual:address:markers", "ADDRESS", GAZETTEER + 1, lambda t, c: F.filter(address_spans(t), lambda s: ~s["pin"])),
+    Detector("regex:email", "EMAIL", STRUCTURED, email, "@"),
+    Detector("regex:corporate", "ORG", CONTEXTUAL, corporate, "form"),
+    Detector("regex:website", "WEBSITE", STRUCTURED, website, "site"),
+    Detector("regex:ssn", "SSN", STRUCTURED, lambda t, c: matches(t, SSN), "digits"),
+    Detector("regex:credit_card", "CREDIT_CARD", STRUCTURED, lambda t, c: matches(t, CARD), "digits", accept=is_card),
+    Detector("regex:ip", "IP_ADDRESS", STRUCTURED, ipv4, "digits"),
+    Detector("regex:phone", "PHONE", STRUCTURED, phones, "digits", (("regex:phone", CONTEXTUAL, lambda s: s["labelled"]),)),
+    Detector("contextual:din", "DIN", STRUCTURED, lambda t, c: matches(t, DIN_LABEL, True), "digits"),
+    Detector("contextual:din:gazetteer", "DIN", GAZETTEER, din_bare, "digits"),
+    Detector("contextual:dob", "DATE_OF_BIRTH", CONTEXTUAL, lambda t, c: matches(t, BIRTH, True), "digits"),
+    Detector("contextual:address", "ADDRESS", CONTEXTUAL, lambda t, c: address_spans(t), "", (("contextual:address:markers", GAZETTEER + 1, lambda s: ~s["pin"]),)),
     Detector("gazetteer:person", "PERSON", GAZETTEER, lambda t, c: gazetteer(t, c.persons)),
     Detector("gazetteer:org", "ORG", GAZETTEER, lambda t, c: gazetteer(t, c.orgs)),
 )
+#: Cheap tests that a text must pass for the detectors of a gate.
+GATES: dict[str, Callable[[Column], Column]] = {
+    "@": lambda t: F.contains(t, F.lit("@")),
+    "site": lambda t: F.contains(t, F.lit("://")) | F.contains(t, F.lit("www.")),
+    "digits": lambda t: F.regexp_like(t, F.lit(r"(?Us)\d.?.?\d")),
+    "form": lambda t: F.regexp_like(t, F.lit(FORMS)),
+}
 #: Extensions that are not part of the default set.
 NANP = Detector("regex:phone_nanp", "PHONE", STRUCTURED, lambda t, c: matches(t, PHONE_NANP))
 
 
+def spans_of(detector: Detector, text: Column, context: Context, ord_: int) -> Column:
+    """A detector's typed spans; its further kinds have the next places in the order."""
+    kinds = [(detector.name, detector.priority, lambda s: ~reduce(or_, (which(s) for _, _, which in detector.also), F.lit(False))), *detector.also]
+
+    def named(found: Column) -> Column:
+        if detector.accept:
+            found = F.filter(found, lambda s: detector.accept(s, F.substring(text, s["end"] + 1, 1)))
+        if not detector.also:
+            return typed(found, detector.entity_type, detector.name, detector.priority, ord_)
+        return F.concat(*[typed(F.filter(found, which), detector.entity_type, name, priority, ord_ + i) for i, (name, priority, which) in enumerate(kinds)])
+
+    return let(detector.find(text, context), named)
+
+
 def candidates(text: Column, context: Context = Context(), detectors: tuple[Detector, ...] = REGISTRY) -> Column:
-    """All detectors' spans of a text, before conflicts are settled."""
-    return F.concat(no_spans(), *[typed(d.find(text, context), d.entity_type, d.name, d.priority, i) for i, d in enumerate(detectors)])
+    """All detectors' spans of a text, before conflicts are settled. Each gate is tested once."""
+    by_gate: dict[str, list[Column]] = {}
+    place = 0
+    for d in detectors:
+        by_gate.setdefault(d.gate, []).append(spans_of(d, text, context, place))
+        place += 1 + len(d.also)
+    parts = by_gate.pop("", [])
+    parts += [F.when(GATES[gate](text), F.concat(no_spans(), *found)).otherwise(no_spans()) for gate, found in by_gate.items()]
+    return F.concat(no_spans(), *parts)
 
 
 def ner_spans(ents: Column, lexicon: Lexicon = policy.LEXICON) -> Column:
@@ -161,7 +205,7 @@ def ner_spans(ents: Column, lexicon: Lexicon = policy.LEXICON) -> Column:
         start = e["start"] + F.length(e["text"]) - F.length(F.regexp_replace(e["text"], r"(?U)^\s+", ""))
         return F.struct(
             start.cast("int").alias("start"), (start + F.length(value)).cast("int").alias("end"), value.alias("text"), e["label"].alias("entity_type"),
-            F.concat(F.lit("spacy:"), F.lower(e["label"])).alias("detector"), F.lit(MODEL).alias("priority"), F.lit(len(REGISTRY)).alias("ord"),
+            F.concat(F.lit("spacy:"), F.lower(e["label"])).alias("detector"), F.lit(MODEL).alias("priority"), F.lit(sum(1 + len(d.also) for d in REGISTRY)).alias("ord"),
         )
 
     keep = lambda s: ((s["entity_type"] == "PERSON") & ~policy.is_person_noise(s["text"], lexicon=lexicon)) | (

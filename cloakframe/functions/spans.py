@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +16,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+_BUILT: dict[tuple, Column] = {}
+
+
+def built(key: tuple, make: Callable[[], Column]) -> Column:
+    """A column that is built once in a Spark process: the calls that build a large one take seconds. Equal keys are equal columns."""
+    key = (id(SparkContext._gateway), *key)
+    if key not in _BUILT:
+        _BUILT[key] = make()
+    return _BUILT[key]
+
+
 def no_spans() -> Column:
     return F.array().cast(f"array<{SPAN}>")
 

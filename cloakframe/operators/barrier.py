@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 
 
 def barrier(df: DataFrame) -> DataFrame:
-    """The rows from a Parquet table in spark.checkpoint.dir, or in a temporary folder where none is set, as in tests.
+    """The rows from a Parquet table in spark.checkpoint.dir; where none is set, a temporary folder serves a local master.
 
     Parquet and not ``checkpoint()``: later reads prune columns, and the optimizer
     of Spark 4.1 failed on a union of checkpointed plans, in its constraints. The
@@ -20,7 +20,10 @@ def barrier(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     path = f"{sc.getCheckpointDir()}/barrier-{uuid.uuid4().hex}"
     df.write.parquet(path)
 

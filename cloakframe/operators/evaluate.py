@@ -96,3 +96,65 @@ def stratified_sample(rows: DataFrame, strata: list[tuple[str, int, int, int]],
         parts.append(rows.where(inside & ~taken).withColumn("stratum", F.lit(label)).orderBy(order, key).limit(count))
         taken = taken | inside
     return reduce(DataFrame.unionByName, parts)
+
+
+#: The two designs of the gold sample, as (stratum, first block, end, count). Later strata exclude what
+#: earlier ones hold, so the body is what lies outside the reserved ranges.
+DESIGNS = {
+    "v1": [("front_matter", 0, 700, 45), ("governance", 3550, 3900, 45), ("body", 0, 1 << 31, 40)],
+    "v2": [("front_matter", 0, 700, 25), ("mid_document", 700, 3550, 150), ("governance", 3550, 3900, 25)],
+}
+
+
+def counts_by_type(spans: DataFrame, *keys: str) -> DataFrame:
+    """Rows (..., entity_type) counted by type, and by further columns."""
+    return spans.groupBy(*keys, "entity_type").agg(F.count(F.lit(1)).alias("spans"))
+
+
+def gold_blocks(sample: DataFrame, blocks: DataFrame, annotations: DataFrame) -> DataFrame:
+    """(block_index, stratum, block_id, text, entities): the sampled blocks with all occurrences of their annotated surfaces.
+
+    An annotation of a block outside the sample, or that its block lacks, is an error.
+    """
+    outside = annotations.join(sample.select("block_index"), "block_index", "left_anti").select("block_index").first()
+    if outside:
+        raise ValueError(f"annotated block {outside[0]} is not in the sample")
+    spans = gold_offsets(blocks, annotations).groupBy("block_index").agg(F.array_sort(F.collect_list(F.struct("start", "end", "text", "entity_type"))).alias("entities"))
+    kept = sample.select("block_index", "stratum").join(blocks.select("block_index", "block_id", "text"), "block_index").join(spans, "block_index", "left")
+    none = F.array().cast("array<struct<start:int,end:int,text:string,entity_type:string>>")
+    return kept.select("block_index", "stratum", "block_id", "text", F.coalesce("entities", none).alias("entities"))
+
+
+def gold_pairs(gold: DataFrame, detected: DataFrame) -> DataFrame:
+    """(stratum, block_id, text, gold, predicted): gold blocks beside what was detected in them, by block index."""
+    found = detected.select("block_index", F.col("spans").alias("predicted"))
+    return gold.join(found, "block_index", "left").select("stratum", "block_id", "text", F.col("entities").alias("gold"), F.coalesce("predicted", F.array()).alias("predicted"))
+
+
+def audit_references(pairs: DataFrame) -> DataFrame:
+    """(block, kind, type, source_sha256, length) of spans without an exact counterpart: 'missed' and 'spurious', no text."""
+
+    def apart(own: str, other: str, kind: str) -> DataFrame:
+        same = lambda x, y: (x["start"] == y["start"]) & (x["end"] == y["end"]) & (x["entity_type"] == y["entity_type"])
+        rows = pairs.select("block_id", F.explode(F.filter(own, lambda x: ~F.exists(other, lambda y: same(x, y)))).alias("s"))
+        return rows.select(F.col("block_id").alias("block"), F.lit(kind).alias("kind"), F.col("s.entity_type").alias("type"), F.sha2("s.text", 256).alias("source_sha256"), F.length("s.text").alias("length"))
+
+    return apart("gold", "predicted", "missed").unionByName(apart("predicted", "gold", "spurious"))
+
+
+def evaluate(gold: DataFrame, detected: DataFrame) -> dict[str, DataFrame]:
+    """The reports of a detection over whole documents, held against gold blocks: strict, relaxed, by_stratum, characters and errors."""
+    pairs = gold_pairs(gold, detected)
+    return {
+        "strict": score_spans(pairs, True), "relaxed": score_spans(pairs, False), "by_stratum": score_spans(pairs, False, True),
+        "characters": score_characters(pairs), "errors": audit_references(pairs),
+    }
+
+
+def report_table(scores: DataFrame, title: str) -> str:
+    """A Markdown table of scores: a bounded number of types."""
+    rows = scores.orderBy("entity_type").collect()
+    cell = lambda v: "" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
+    names = scores.columns
+    lines = [f"### {title}", "", f"| {' | '.join(names)} |", f"|{' --- |' * len(names)}", *[f"| {' | '.join(cell(r[n]) for n in names)} |" for r in rows]]
+    return "\n".join(lines) + "\n"

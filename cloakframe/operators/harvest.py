@@ -97,12 +97,19 @@ def din_cues(blocks: DataFrame) -> DataFrame:
 
 
 def table_dins(blocks: DataFrame, people: DataFrame) -> DataFrame:
-    """(doc_id, term): blocks that are eight digits within four blocks of a known person (doc_id, term)."""
-    near = Window.partitionBy("doc_id").orderBy("block_index").rowsBetween(-4, 4)
-    around = blocks.withColumn("_around", F.array_join(F.collect_list(F.lower("text")).over(near), " ")).where(F.regexp_like(F.trim("text"), F.lit(r"^\d{8}$")))
+    """(doc_id, term): blocks that are eight digits within four blocks of a known person (doc_id, term).
+
+    Blocks are numbered without gaps, so the neighbours are looked up by number:
+    only the texts around such blocks move.
+    """
+    found = barrier(blocks.where(F.regexp_like(F.trim("text"), F.lit(r"^\d{8}$"))).select("doc_id", F.col("block_index").alias("_at"), F.trim("text").alias("term")))
+    near = found.select("doc_id", "_at", "term", F.explode(F.sequence(F.col("_at") - 4, F.col("_at") + 4)).alias("block_index"))
+    texts = blocks.select("doc_id", "block_index", F.lower("text").alias("_low")).join(near, ["doc_id", "block_index"])
+    around = texts.groupBy("doc_id", "_at", "term").agg(F.array_sort(F.collect_list(F.struct("block_index", "_low"))).alias("_ls"))
+    around = around.select("doc_id", "term", F.array_join("_ls._low", " ").alias("_around"))
     names = people.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.lower("term")).alias("_names"))
     hit = around.join(names, around.doc_id == names["_doc"]).where(F.exists("_names", lambda n: F.contains(F.col("_around"), n)))
-    return hit.select("doc_id", F.trim("text").alias("term")).distinct()
+    return hit.select("doc_id", "term").distinct()
 
 
 def harvest(blocks: DataFrame, ner: DataFrame | None = None, tables: DataFrame | None = None, lexicon: Lexicon = LEXICON) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cloakframe.functions import fakes
 from cloakframe.functions.detectors import REGISTRY, Context, Detector, candidates, ner_spans
-from cloakframe.functions.spans import apply_spans, resolve_overlaps
+from cloakframe.functions.spans import apply_spans, built, resolve_overlaps
 from cloakframe.operators.barrier import barrier
 from cloakframe.operators.harvest import by_document, context_columns, harvest
 
@@ -42,7 +42,7 @@ def detect(blocks: DataFrame, gazetteer: DataFrame | None = None, ner: DataFrame
     if gazetteer is not None:
         blocks = blocks.join(by_document(gazetteer), "doc_id", "left")
         context = Context(**context_columns())
-    found = candidates(F.col("text"), context, detectors)
+    found = built(("candidates", gazetteer is not None, detectors), lambda: candidates(F.col("text"), context, detectors))
     if ner is not None:
         ents = ner.groupBy("doc_id", "block_index").agg(F.collect_list(F.struct("start", "text", "label")).alias("_ents"))
         blocks = blocks.join(ents, ["doc_id", "block_index"], "left")
@@ -69,7 +69,7 @@ def rewrite(detected: DataFrame, config: RedactionConfig = RedactionConfig()) ->
     scope = ["doc_id"] if config.by_document else []
     rows = barrier(span_rows(detected.select("doc_id", "block_index", "text", "spans")))
     mapping = barrier(fakes.mapping(rows, scope, config.seed, config.salt))
-    keyed = rows.withColumn("canonical", fakes.canonical(F.col("entity_type"), F.col("text")))
+    keyed = rows.withColumn("canonical", fakes.canonical_of_span())
     named = keyed.join(mapping.select(*scope, "entity_type", "canonical", "replacement"), [*scope, "entity_type", "canonical"])
     edit = F.struct("start", "end", fakes.match_case(F.col("text"), F.col("replacement")).alias("replacement"), "entity_type", "detector", F.col("text").alias("source"))
     edits = named.groupBy("doc_id", "block_index").agg(F.array_sort(F.collect_list(edit)).alias("edits"))
@@ -102,12 +102,24 @@ def mapping_audit(mapping: DataFrame) -> DataFrame:
     return mapping.orderBy("entity_type", "canonical").select("entity_type", "source_sha256", "replacement")
 
 
-def run_summary(redacted: DataFrame) -> DataFrame:
-    """One row: blocks, blocks touched, replacements, and these by type."""
+def run_summary(redacted: DataFrame, fields: DataFrame | None = None, media: DataFrame | None = None, mapping: DataFrame | None = None, gazetteer: DataFrame | None = None) -> DataFrame:
+    """One row: blocks, blocks touched, replacements, and these by type; and counts of the other tables that are given."""
     types = redacted.select(F.explode("edits.entity_type").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
     by_type = types.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("t", "n")))).alias("by_type"))
     counts = redacted.agg(F.count(F.lit(1)).alias("blocks_scanned"), F.count_if(F.size("edits") > 0).alias("blocks_modified"), F.coalesce(F.sum(F.size("edits")), F.lit(0)).cast("long").alias("replacements"))
-    return counts.crossJoin(F.broadcast(by_type))  # two single rows
+    more = [by_type]
+    if fields is not None:
+        more.append(fields.agg(F.coalesce(F.sum(F.size("edits")), F.lit(0)).cast("long").alias("hidden_field_values")))
+    if media is not None:
+        more.append(media.agg(F.count(F.lit(1)).alias("image_parts")))
+    if mapping is not None:
+        more.append(mapping.agg(F.count(F.lit(1)).alias("stable_mappings")))
+    if gazetteer is not None:
+        kinds = gazetteer.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+        more.append(kinds.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("gazetteer")))
+    for df in more:
+        counts = counts.crossJoin(F.broadcast(df))  # single rows
+    return counts
 
 
 def redact_fields(fields: DataFrame, config: RedactionConfig = RedactionConfig()) -> tuple[DataFrame, DataFrame]:

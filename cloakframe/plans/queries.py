@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakframe.functions import detectors as d
@@ -25,14 +25,24 @@ def name(values: str, factor: int = 1) -> str:
     return f"split_part('{values}', ',', CAST(({KEY} * {factor}) % {values.count(',') + 1} AS INT) + 1)"
 
 
+def choice(values: str, factor: int = 1) -> str:
+    """One of the values, which bars separate, by the key."""
+    return f"split_part('{values}', '|', CAST(({KEY} * {factor}) % {values.count('|') + 1} AS INT) + 1)"
+
+
 FIRST, LAST = name("Arjun,Maya,Anita,Rohan,Leela,Vikram,Nisha"), name("Mehta,Patel,Kulkarni,Fernandes,Deshmukh", 3)
 FIRM = name("Harbor,Summit,Apex,Northern,Alder") + " || ' ' || " + name("Metals,Registry,Alloy", 5) + " || ' ' || " + name("Private Limited,Limited,LLP", 7)
+BORN = (
+    f"CASE {KEY} % 4 WHEN 0 THEN concat('Date of Birth: ', {number(1, 1)}, '/', {number(3, 1)}, '/19', {number(17, 2)}) WHEN 1 THEN concat('born on March ', {number(7, 1)}, ', 19', {number(17, 2)})"
+    f" WHEN 2 THEN concat('DOB - 3 April 19', {number(17, 2)}) ELSE concat('dated ', {number(1, 1)}, '/3/19', {number(17, 2)}) END"
+)
 LINES = (
     f"concat('Contact Person: ', {FIRST}, ' ', {LAST}, ', Company Secretary; Tel: +91 ', {number(7919, 5)}, ' ', {number(104729, 5)})",
-    f"concat('DIN: ', {number(1299709, 8)}, ' SSN: ', {number(37, 3)}, '-', {number(91, 2)}, '-', {number(613, 4)}, ' Date of Birth: ', {number(1, 1)}, '/', {number(3, 1)}, '/19', {number(17, 2)})",
+    f"concat({choice('DIN: |DIN No. |din number |PIN ')}, {number(1299709, 8)}, ' SSN: ', {number(37, 3)}, '-', {number(91, 2)}, '-', {number(613, 4)}, ' ', {BORN})",
     f"concat({FIRST}, ' ', {LAST}, ' wrote to ', lower({FIRST}), '.', lower({LAST}), '@example.org from 10.', CAST({KEY} % 300 AS STRING), '.3.4 about ', {FIRM}, ' for ', {number(31, 3)}, ' units')",
     f"concat({FIRST}, ' ', {LAST})",
     number(15485863, 8),
+    f"concat({choice('Phone no. |Fax: |mobile |Reach us: ')}, '0', {number(31, 2)}, ' (', {number(613, 4)}, ') ', {number(7919, 4)})",
 )
 #: Documents made of customer keys, in SQL that both engines read: names, numbers and cues that the tables lack.
 FIXTURE = " UNION ALL ".join(f"SELECT {KEY} AS doc_id, CAST({i} AS INT) AS block_index, {line} AS text FROM customer" for i, line in enumerate(LINES))
@@ -86,7 +96,7 @@ def spans_query(source: Callable, *names: str) -> Callable[[SparkSession, str],
     """Raw spans of the detectors of those names, as rows."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        chosen = tuple(x for x in (*d.REGISTRY, d.NANP) if f"{x.name}/{x.priority}" in names)
+        chosen = tuple(x for x in (*d.REGISTRY, d.NANP) if x.name in names)
         found = source(spark, sf_dir).select("doc_id", "block_index", F.explode(d.candidates(F.col("text"), detectors=chosen)).alias("s"))
         return found.select("doc_id", "block_index", "s.start", "s.end", "s.text")
 
@@ -106,24 +116,85 @@ def closed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact.span_rows(redact.detect(lines(spark, sf_dir), detectors=CLOSED))
 
 
+def rewritten(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return redact.rewrite(redact.detect(lines(spark, sf_dir), detectors=CLOSED))
+
+
 def block_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).select("doc_id", "block_index", "block_id", F.length("text").cast("long").alias("n_chars"))
 
 
 def detection_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return closed(spark, sf_dir).select("doc_id", F.col("block_id").alias("block"), "start", "end", (F.col("end") - F.col("start")).alias("length"), "entity_type", "detector", F.sha2("text", 256).alias("source_sha256"))
+    return redact.detection_audit(rewritten(spark, sf_dir)[0]).drop("replacement")
 
 
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return closed(spark, sf_dir).groupBy("entity_type").agg(F.count(F.lit(1)).alias("spans"), F.countDistinct("doc_id", "block_index").alias("blocks"))
+    made = redact.run_summary(rewritten(spark, sf_dir)[0])
+    return made.select("blocks_scanned", "blocks_modified", "replacements", F.explode("by_type").alias("entity_type", "spans"))
+
+
+def mapping_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By type: values, their fakes, how many are their own source, and how many have the form of their type."""
+    found = fakes.mapping(closed(spark, sf_dir))
+    formed = F.when(F.col("entity_type") == "EMAIL", F.regexp_like("replacement", F.lit("^[a-z.]+@example[.]com$")))
+    formed = formed.when(F.col("entity_type") == "IP_ADDRESS", F.regexp_like("replacement", F.lit(f"^{d.OCTET}([.]{d.OCTET}){{3}}$")))
+    formed = formed.otherwise(F.call_function("luhn_check", F.regexp_replace("replacement", "[^0-9]", "")))
+    own = fakes.canonical(F.col("entity_type"), F.col("replacement")) == F.col("canonical")
+    return found.groupBy("entity_type").agg(F.count(F.lit(1)).alias("n_values"), F.countDistinct("replacement").alias("n_fakes"), F.count_if(own).alias("own"), F.count_if(formed).alias("well_formed"))
 
 
 def stable_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fakes.mapping(closed(spark, sf_dir), ["doc_id"]).select("doc_id", "entity_type", "canonical", "source_sha256")
 
 
+#: Every cue in turn, and none.
+CUE_LINES = [
+    ("contact", f"concat('Contact Person: ', {FIRST}, ' ', {LAST}, ', Company Secretary; Tel')"),
+    ("promoter", f"concat('OUR PROMOTERS: ', {FIRST}, ' ', {LAST})"),
+    ("compliance", f"concat('Compliance Officer - ', {FIRST}, ' ', {LAST}, '; office')"),
+    ("namely", f"concat('the directors namely ', {FIRST}, ' ', {LAST}, ', who met')"),
+    ("consent", f"concat('with consent dated 3 May 2024 from ', {FIRST}, ' ', {LAST}, ' to act')"),
+    ("title", f"concat('a letter of Mr. ', {FIRST}, ' ', {LAST}, ' to the board')"),
+    ("", f"concat('the shares of ', {FIRST}, ' ', {LAST}, ' and the contact')"),
+]
+CUE_TEXT = f"CASE {KEY} % {len(CUE_LINES)} " + " ".join(f"WHEN {i} THEN {text}" for i, (_, text) in enumerate(CUE_LINES)) + " END"
+CUE_NAME = f"CASE {KEY} % {len(CUE_LINES)} " + " ".join(f"WHEN {i} THEN '{cue}'" for i, (cue, _) in enumerate(CUE_LINES)) + " END"
+
+
+def customers(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    return spark.sql(sql.replace("FROM customer", "FROM {customer}"), customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
+
+
 def harvest_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return harvest.cue_candidates(fixture(spark, sf_dir)).select("doc_id", "cue", "kind", "term")
+    blocks = customers(spark, sf_dir, f"SELECT {KEY} AS doc_id, {CUE_TEXT} AS text FROM customer")
+    return harvest.cue_candidates(blocks).select("doc_id", "cue", "kind", "term")
+
+
+#: Two tables a document: definitions, or directors; their headings decide.
+CELLS = [
+    (0, 0, f"CASE {KEY} % 3 WHEN 0 THEN 'Name of the Director' WHEN 1 THEN 'Terms' ELSE 'Item' END"),
+    (0, 1, f"CASE {KEY} % 3 WHEN 0 THEN 'Role' WHEN 1 THEN 'Meaning' ELSE 'Description' END"),
+    (1, 0, f"CASE {KEY} % 3 WHEN 0 THEN concat({FIRST}, ' ', {LAST}) ELSE concat('Offer Price / Cap  ', {KEY}) END"),
+    (1, 1, "'text of the cell'"),
+    (2, 0, f"CASE {KEY} % 3 WHEN 0 THEN {FIRM} ELSE 'No' END"),
+    (2, 1, "'Director'"),
+]
+TABLES = " UNION ALL ".join(f"SELECT {KEY} AS doc_id, 0 AS table_idx, {r} AS row_idx, {c} AS col_idx, {text} AS text FROM customer" for r, c, text in CELLS)
+
+
+def harvest_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return harvest.glossary(customers(spark, sf_dir, TABLES))
+
+
+def harvest_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return harvest.name_columns(customers(spark, sf_dir, TABLES))
+
+
+ORGS = f"SELECT {KEY} AS doc_id, concat({name('Harbor,Summit,Apex,Northern')}, ' ', {choice('Metals|Registry II|Industries', 1)}, ' ', {choice('Private Limited|LLP|Limited', 5)}) AS term FROM customer"
+
+
+def base_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return harvest.base_names(customers(spark, sf_dir, ORGS))
 
 
 def harvest_gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,9 +206,21 @@ def table_dins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harvest.table_dins(blocks, harvest.cue_candidates(blocks).where("kind = 'person'").select("doc_id", "term"))
 
 
+PEOPLE = f"SELECT CAST({KEY} % 50 AS BIGINT) AS doc_id, concat({FIRST}, ' ', {choice('Mehta|Rao|Kulkarni|Limited|de Souza', 3)}) AS term, {KEY} % 50 < 25 AND {KEY} % 11 = 0 AS promoter FROM customer"
+
+
 def family_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    people = harvest.cue_candidates(fixture(spark, sf_dir)).where("kind = 'person'").select("doc_id", "term", F.lit(False).alias("promoter"))
-    return harvest.family_names(people)
+    return harvest.family_names(customers(spark, sf_dir, PEOPLE))
+
+
+KNOWN = f"SELECT {KEY} AS doc_id, {number(15485863, 8)} AS term FROM customer WHERE {KEY} % 2 = 0 UNION ALL SELECT {KEY}, {number(1299709, 8)} FROM customer WHERE {KEY} % 3 = 0"
+
+
+def detect_din_bare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = customers(spark, sf_dir, KNOWN).groupBy("doc_id").agg(F.collect_set("term").alias("known"))
+    chosen = tuple(x for x in d.REGISTRY if x.name == "contextual:din:gazetteer")
+    found = fixture(spark, sf_dir).join(known, "doc_id", "left").select("doc_id", "block_index", F.explode(d.candidates(F.col("text"), d.Context(dins=F.col("known")), chosen)).alias("s"))
+    return found.select("doc_id", "block_index", "s.start", "s.end", "s.text")
 
 
 def gazetteer_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,20 +242,71 @@ def redact_hidden_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", F.col("block_index").alias("idx"), F.size("edits").alias("edits"), F.length("redacted").alias("n_chars"))
 
 
+def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both passes with all detectors over the lines of whole documents."""
+    made, _ = redact.redact(lines(spark, sf_dir))
+    return made.select("doc_id", "block_index", "redacted", F.size("edits").alias("edits"))
+
+
+#: Texts as (before, address, after, whether a postal code ends it); without an address where none must be found.
+PLACES = [
+    ("Registered Office: ", "concat('Plot ', {k}, ', Lake Road, Horizon Tower, Example City - 411', {n}, ' Example State, India')", " and more", True),
+    ("The office has moved. ", "concat('Flat no. ', {k}, ', Garden Street, Pune 411', {n})", ", and stayed", True),
+    ("The amount of 411300 was paid to holder ", "", "of it, they say", True),
+    ("Apex Securities Limited ", "concat('Venture House, Plot ', {k}, ', Harbour Road, Example City 400', {n})", " for all", True),
+    ("", "concat({k}, ', Tower-2, Horizon Business Centre Off Lakeside Avenue, West End')", "", False),
+    ("The road to success, as they say, is long and ", "", "winding", False),
+    ("Summit Metals Limited ", "concat('B-', {k} % 9000, ', Orchard View, West End')", "", False),
+    ("Notes; ", "concat('Block ', {k}, ', Sector 9, Lake View Colony')", ": the end of it", False),
+    ("Our Company, which is near the road and behind ", "", "schedule", None),
+    ("Summit Metals Limited, as of 2021, has been required ", "", "to file", False),
+]
+PLACED = " UNION ALL ".join(
+    f"SELECT {KEY} AS doc_id, '{before}' AS before, {(address or "''").format(k=KEY, n=number(17, 3))} AS address, '{after}' AS after, {str(bool(pin)).upper()} AS pin FROM customer WHERE {KEY} % {len(PLACES)} = {i}"
+    for i, (before, address, after, pin) in enumerate(PLACES)
+    if pin is not None
+)
+
+
 def detect_address(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.lit("Plot "), F.col("c_custkey").cast("string"), F.lit(", Lake Road, Horizon Tower, Example City - 4"), F.lpad((F.col("c_custkey") % 100000).cast("string"), 5, "0"), F.lit(" Example State, India"))
-    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("doc_id"), text.alias("text"))
-    return rows.select("doc_id", F.explode(d.address_spans(F.col("text"))).alias("s")).select("doc_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.pin").alias("pin"))
+    rows = customers(spark, sf_dir, f"SELECT doc_id, concat(before, address, after) AS text FROM ({PLACED})")
+    return rows.select("doc_id", F.explode(d.address_spans(F.col("text"))).alias("s")).select("doc_id", "s.start", "s.end", "s.text", "s.pin")
+
+
+#: Names with what the policy says of them: redactable, has an entity's marker, only generic words.
+ORG_RULES = {
+    "Acme Metals Limited": "110", "Harbor & Co LLP": "110", "Alder Industries": "110", "Summit Family Trust": "110", "Mehta Electricals": "100", "Private Limited": "011", "Holdings Group": "011",
+    "SEBI": "000", "BSE Limited": "010", "Reserve Bank of India": "000", "Contact Metals Limited": "010", "Bid Amount": "000", "the Bid Amounts": "000", "Pune Metals": "000", "Ltd": "011", "Company of Sons Northern": "110",
+}
+#: Names, and whether the strict policy takes them for noise.
+PERSON_RULES = {
+    "Arjun Mehta": "0", "MAYA PATEL": "0", "Anita Rao Kulkarni": "0", "Arjun": "1", "Managing Director": "1", "Floor Price": "1", "Arjun Mehta Limited": "1", "arjun mehta": "1", "McDonald Smith": "1",
+    "Unit 7 Mehta": "1", "A B": "1", "A Rao": "1", "One Two Three Four Five Six": "1", "Mr Arjun Mehta": "1", "Offer Amount": "1", "Nisha Deshmukh": "0",
+}
+
+
+def rules_sql(rules: dict[str, str], *flags: str) -> str:
+    values = choice("|".join(rules), 1)
+    outcome = choice("|".join(rules.values()), 1)
+    return f"SELECT {KEY} AS id, {values} AS value" + "".join(f", substr({outcome}, {i + 1}, 1) = '1' AS {flag}" for i, flag in enumerate(flags)) + " FROM customer"
 
 
 def org_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    firms = spark.sql(f"SELECT {KEY} AS id, {FIRM} AS value FROM {{customer}}", customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
-    return firms.select("id", "value", policy.is_redactable_org(F.col("value")).alias("redactable"), policy.has_entity_marker(F.col("value")).alias("marker"), policy.is_only_generic(F.col("value")).alias("generic"))
+    firms = customers(spark, sf_dir, rules_sql(ORG_RULES))
+    v, families, terms = F.col("value"), F.array(F.lit("mehta")), F.array(F.lit("bid amount"))
+    return firms.select("id", "value", policy.is_redactable_org(v, families, terms).alias("redactable"), policy.has_entity_marker(v).alias("marker"), policy.is_only_generic(v).alias("generic"))
 
 
 def person_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = spark.sql(f"SELECT {KEY} AS id, {FIRST} || ' ' || {name('Mehta,Limited,Price,Rao,lower', 3)} AS value FROM {{customer}}", customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
-    return names.select("id", "value", policy.is_person_noise(F.col("value"), strict=True).alias("noise"))
+    return customers(spark, sf_dir, rules_sql(PERSON_RULES)).select("id", "value", policy.is_person_noise(F.col("value"), strict=True).alias("noise"))
+
+
+GOLD = f"SELECT {KEY} AS block_index, concat({FIRST}, ' met ', {LAST}, {choice(' and | twice, then ')}, {FIRST}) AS text, {FIRST} AS surface FROM customer"
+
+
+def gold_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = customers(spark, sf_dir, GOLD)
+    return evaluate.gold_offsets(rows.select("block_index", "text"), rows.select("block_index", "surface", F.lit("PERSON").alias("entity_type")))
 
 
 PAIR = f"SELECT {KEY} AS id, CAST({KEY} % 7 AS INT) AS a, CAST(({KEY} * 5) % 13 AS INT) AS b, CAST({KEY} % 9 + 1 AS INT) AS n FROM customer"
@@ -188,17 +322,37 @@ def resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs_of(spark, sf_dir).select("id", F.explode(resolve_overlaps(spans)).alias("s")).select("id", "s.start", "s.end", "s.entity_type")
 
 
+#: Spans as (type, start, end) in SQL. One type's predictions overlap both of its gold spans, in an order that a greedy match loses by.
+GOLD_SPANS = [("EMAIL", "a", "a + 5"), ("PERSON", "20", "25"), ("ORG", "30", "40"), ("ORG", "35", "45"), ("SSN", "50", "52")]
+GUESSES = [("EMAIL", "b", "b + 5"), ("PERSON", "20 + id % 2", "25"), ("ORG", "38", "42"), ("ORG", "30", "33")]
+
+
 def eval_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = lambda start, n: F.array(F.struct(start.cast("int").alias("start"), (start + n).cast("int").alias("end"), F.lit("EMAIL").alias("entity_type")))
-    return pairs_of(spark, sf_dir).select(F.lit("all").alias("stratum"), F.lit("x" * 30).alias("text"), one(F.col("a"), F.lit(5)).alias("gold"), one(F.col("b"), F.lit(5)).alias("predicted"))
+    def spans(rows: list) -> Column:
+        return F.array(*[F.struct(F.expr(f"CAST({a} AS INT)").alias("start"), F.expr(f"CAST({b} AS INT)").alias("end"), F.lit(kind).alias("entity_type")) for kind, a, b in rows])
+
+    return pairs_of(spark, sf_dir).select(F.concat(F.lit("s"), F.expr("CAST(id % 3 AS STRING)")).alias("stratum"), F.lit("x" * 60).alias("text"), spans(GOLD_SPANS).alias("gold"), spans(GUESSES).alias("predicted"))
+
+
+def eval_query(strict: bool, by_stratum: bool = False) -> Callable:
+    return lambda spark, sf_dir: evaluate.score_spans(eval_pairs(spark, sf_dir), strict, by_stratum).na.fill(0)  # the mean has no counts
 
 
-def eval_query(strict: bool) -> Callable:
-    return lambda spark, sf_dir: evaluate.score_spans(eval_pairs(spark, sf_dir), strict).where("entity_type <> 'MACRO_AVG'")
+def sql_eval(strict: bool, by_stratum: bool = False) -> str:
+    """One pair of spans a row and type, but of ORG two, of which the greedy match finds one."""
+    email, person = ("a = b", "id % 2 = 0") if strict else ("a < b + 5 AND b < a + 5", "TRUE")
+    rows = f"""SELECT stratum, unnest([{{'t': 'EMAIL', 'tp': CASE WHEN {email} THEN 1 ELSE 0 END, 'g': 1, 'p': 1}}, {{'t': 'PERSON', 'tp': CASE WHEN {person} THEN 1 ELSE 0 END, 'g': 1, 'p': 1}},
+{{'t': 'ORG', 'tp': {0 if strict else 1}, 'g': 2, 'p': 2}}, {{'t': 'SSN', 'tp': 0, 'g': 1, 'p': 0}}]) AS x FROM (SELECT *, concat('s', id % 3) AS stratum FROM ({PAIR}))"""
+    key = "stratum, " if by_stratum else ""
+    sums = "CAST(sum(x.tp) AS BIGINT) AS tp, CAST(sum(x.p - x.tp) AS BIGINT) AS fp, CAST(sum(x.g - x.tp) AS BIGINT) AS fn"
+    counted = f"SELECT {key}x.t AS entity_type, {sums} FROM ({rows}) WHERE x.t <> 'SSN' GROUP BY {key}x.t UNION ALL SELECT {key}'MICRO_AVG', {sums} FROM ({rows}) {'GROUP BY stratum' if by_stratum else ''}"
+    rated = f"SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r FROM ({counted})"
+    scored = f"SELECT {key}entity_type, tp, fp, fn, round(p, 4) AS precision, round(r, 4) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 4) AS f1, tp + fn AS support FROM ({rated})"
+    means = "round(avg(precision), 4), round(avg(recall), 4), round(avg(f1), 4)"
+    return f"SELECT * FROM ({scored}) UNION ALL SELECT {key}'MACRO_AVG', 0, 0, 0, {means}, 0 FROM ({scored}) WHERE entity_type <> 'MICRO_AVG' {'GROUP BY stratum' if by_stratum else ''}"
 
 
-SQL_EVAL = """SELECT t AS entity_type, tp, n - tp AS fp, n - tp AS fn, round(tp / n, 4) AS precision, round(tp / n, 4) AS recall, round(tp / n, 4) AS f1, n AS support
-FROM (SELECT count(*) AS n, count(*) FILTER (WHERE {hit}) AS tp FROM ({pairs})), (SELECT unnest(['EMAIL', 'MICRO_AVG']) AS t)"""
+CHARS = {"EMAIL": "greatest(0, 5 - abs(a - b))", "PERSON": "5 - id % 2", "ORG": "7"}
 
 
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,32 +361,60 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made, _ = redact.rewrite(redact.detect(lines(spark, sf_dir), detectors=CLOSED))
-    return verify.leaks(made, redact.source_values(made))
+    """Documents of every seventh id keep their texts as they were: all of their values leak."""
+    made, _ = rewritten(spark, sf_dir)
+    planted = made.withColumn("redacted", F.when(F.col("doc_id") % 7 == 0, F.col("text")).otherwise(F.col("redacted")))
+    return verify.leaks(planted, redact.source_values(made)).distinct()
 
 
 def structure_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made, _ = redact.rewrite(redact.detect(lines(spark, sf_dir), detectors=CLOSED))
-    return verify.structure_differences(lines(spark, sf_dir), made)
+    """Documents of every fifth id lose their first block."""
+    made, _ = rewritten(spark, sf_dir)
+    return verify.structure_differences(lines(spark, sf_dir), made.where("doc_id % 5 <> 0 OR block_index > 0"))
+
+
+def audit_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit as it is, and without the rows of odd documents."""
+    made, mapping = rewritten(spark, sf_dir)
+    audit, values = redact.detection_audit(made), redact.source_values(made)
+    reports = [verify.audit_report(made, a, redact.mapping_audit(mapping), values).withColumn("audit", F.lit(label)) for label, a in (("whole", audit), ("short", audit.where("doc_id % 2 = 0")))]
+    return reports[0].unionByName(reports[1]).select("audit", "replacements", "detections", "bad_detections", "mappings", "bad_mappings", "leaks", "email_leaks", "cleartext_columns", "passed")
+
+
+PLACEHOLDERS = {"image/png": b"a neutral png", "image/jpeg": b"a neutral jpeg"}
+
+
+def media_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images after redaction; every fifth has its bytes put back, which the check finds."""
+    rows = customers(spark, sf_dir, f"SELECT {KEY} AS doc_id, concat('word/media/image', {KEY}) AS part, {choice('image/png|image/jpeg')} AS content_type, CAST({FIRST} AS BINARY) AS content FROM customer")
+    made = redact.redact_media(rows, PLACEHOLDERS).join(rows.select("doc_id", F.col("content").alias("was")), "doc_id")
+    put_back = made.withColumn("content", F.when(F.col("doc_id") % 5 == 0, F.col("was")).otherwise(F.col("content")))
+    found = verify.media_differences(put_back, PLACEHOLDERS).select("doc_id", F.lit(True).alias("differs"))
+    return put_back.join(found, "doc_id", "left").select("doc_id", "part", "action", F.sha2("content", 256).alias("sha256"), F.coalesce("differs", F.lit(False)).alias("differs"))
 
 
 QUERIES = {
     "block_flatten": block_flatten,
-    "detect_email": spans_query(lines, "regex:email/100"),
-    "detect_ip": spans_query(lines, "regex:ip/100"),
-    "detect_credit_card": spans_query(lines, "regex:credit_card/100"),
-    "detect_phone_nanp": spans_query(lines, "regex:phone_nanp/100"),
-    "detect_website": spans_query(pages, "regex:website/100"),
-    "detect_phone": spans_query(fixture, "regex:phone/100"),
-    "detect_ssn": spans_query(fixture, "regex:ssn/100"),
-    "detect_dob": spans_query(fixture, "contextual:dob/80"),
-    "detect_din": spans_query(fixture, "contextual:din/100"),
-    "detect_corporate": spans_query(fixture, "regex:corporate/80"),
+    "detect_email": spans_query(lines, "regex:email"),
+    "detect_ip": spans_query(lines, "regex:ip"),
+    "detect_credit_card": spans_query(lines, "regex:credit_card"),
+    "detect_phone_nanp": spans_query(lines, "regex:phone_nanp"),
+    "detect_website": spans_query(pages, "regex:website"),
+    "detect_phone": spans_query(fixture, "regex:phone"),
+    "detect_ssn": spans_query(fixture, "regex:ssn"),
+    "detect_dob": spans_query(fixture, "contextual:dob"),
+    "detect_din": spans_query(fixture, "contextual:din"),
+    "detect_corporate": spans_query(fixture, "regex:corporate"),
+    "detect_din_bare": detect_din_bare,
     "detect_address": detect_address,
     "detection_audit": detection_audit,
     "run_summary": run_summary,
     "stable_mapping": stable_mapping,
+    "mapping_audit": mapping_audit,
     "harvest_cues": harvest_cues,
+    "harvest_glossary": harvest_glossary,
+    "harvest_names": harvest_names,
+    "base_names": base_names,
     "harvest_gazetteer": harvest_gazetteer,
     "table_din_window": table_dins,
     "family_names": family_names,
@@ -241,13 +423,18 @@ QUERIES = {
     "person_policy": person_policy,
     "resolve_overlaps": resolve,
     "redact_text": redact_text,
+    "redact_documents": redact_documents,
     "redact_hidden_links": redact_hidden_links,
+    "gold_offsets": gold_offsets,
     "eval_strict": eval_query(True),
     "eval_relaxed": eval_query(False),
-    "eval_chars": lambda spark, sf_dir: evaluate.score_characters(eval_pairs(spark, sf_dir)).select("tp_chars", "fp_chars", "fn_chars", "tn_chars"),
+    "eval_by_stratum": eval_query(False, True),
+    "eval_chars": lambda spark, sf_dir: evaluate.score_characters(eval_pairs(spark, sf_dir)),
     "stratified_sample": stratified_sample,
     "leak_check": leak_check,
     "structure_check": structure_check,
+    "audit_reconcile": audit_reconcile,
+    "media_policy": media_policy,
 }
 
 PERSON = f"SELECT {KEY} AS doc_id, {FIRST} || ' ' || {LAST} AS term FROM customer"
@@ -258,32 +445,54 @@ ORACLES = {
     "detect_credit_card": sql_spans(SQL_LINES, plain(d.CARD), 0, ACCEPT["card"]),
     "detect_phone_nanp": sql_spans(SQL_LINES, plain(d.PHONE_NANP)),
     "detect_website": sql_spans(SQL_PAGES, plain(d.WEBSITE), 0, ACCEPT["site"]),
-    "detect_phone": sql_spans(FIXTURE, plain(d.PHONE_PLUS), 0, ACCEPT["phone"]),
+    "detect_phone": f"""WITH plus AS ({sql_spans(FIXTURE, plain(d.PHONE_PLUS), 0, ACCEPT["phone"])}), labelled AS ({sql_spans(FIXTURE, plain(d.PHONE_LABEL), 1, ACCEPT["phone"])})
+SELECT * FROM plus UNION ALL SELECT * FROM labelled l WHERE NOT EXISTS (SELECT 1 FROM plus p WHERE p.doc_id = l.doc_id AND p.block_index = l.block_index AND p."start" = l."start" AND p."end" = l."end")""",
     "detect_ssn": sql_spans(FIXTURE, r"\b\d{3}-\d{2}-\d{4}\b", 0, ACCEPT["ssn"]),
     "detect_dob": sql_spans(FIXTURE, plain(d.BIRTH), 1),
     "detect_din": sql_spans(FIXTURE, plain(d.DIN_LABEL), 1),
     "detect_corporate": sql_spans(f"SELECT doc_id, block_index, text FROM ({FIXTURE}) WHERE block_index = 2", r"\b(?:Harbor|Summit|Apex|Northern|Alder) (?:Metals|Registry|Alloy) (?:Private Limited|Limited|LLP)\b"),
-    "detect_address": f"SELECT {KEY} AS doc_id, CAST(0 AS INTEGER) AS \"start\", CAST(length(concat('Plot ', {KEY}, ', Lake Road, Horizon Tower, Example City - 400000 Example State, India')) AS INTEGER) AS \"end\", TRUE AS pin FROM customer",
-    "detection_audit": f"SELECT doc_id, concat('body#', block_index) AS block, \"start\", \"end\", \"end\" - \"start\" AS length, entity_type, detector, sha256(text) AS source_sha256 FROM ({SQL_CLOSED})",
-    "run_summary": f"SELECT entity_type, count(*) AS spans, count(DISTINCT (doc_id, block_index)) AS blocks FROM ({SQL_CLOSED}) GROUP BY entity_type",
+    "detect_din_bare": f"SELECT s.* FROM ({sql_spans(FIXTURE, plain(d.DIN_BARE))}) s SEMI JOIN ({KNOWN}) k ON s.doc_id = k.doc_id AND s.text = k.term",
+    "detect_address": f"SELECT doc_id, CAST(length(before) AS INTEGER) AS \"start\", CAST(length(before || address) AS INTEGER) AS \"end\", address AS text, pin FROM ({PLACED}) WHERE address <> ''",
+    "detection_audit": f"""SELECT doc_id, concat('body#', block_index) AS block, "start", "end", "end" - "start" AS length, entity_type, detector, sha256(text) AS source_sha256,
+sha256(lower(trim(regexp_replace(text, '[\\s \\-–—]+', ' ', 'g')))) AS canonical_sha256 FROM ({SQL_CLOSED})""",
+    "run_summary": f"""SELECT (SELECT count(*) FROM ({SQL_LINES})) AS blocks_scanned, (SELECT count(DISTINCT (doc_id, block_index)) FROM ({SQL_CLOSED})) AS blocks_modified,
+(SELECT count(*) FROM ({SQL_CLOSED})) AS replacements, entity_type, count(*) AS spans FROM ({SQL_CLOSED}) GROUP BY entity_type""",
+    "mapping_audit": f"""SELECT entity_type, n AS n_values, n AS n_fakes, CAST(0 AS BIGINT) AS own, n AS well_formed FROM (
+SELECT entity_type, count(DISTINCT lower(trim(regexp_replace(text, '[\\s \\-–—]+', ' ', 'g')))) AS n FROM ({SQL_CLOSED}) GROUP BY entity_type)""",
     "stable_mapping": f"""SELECT doc_id, entity_type, canonical, sha256(arg_min(text, block_index * 1000000 + "start")) AS source_sha256 FROM (
 SELECT *, lower(trim(regexp_replace(text, '[\\s \\-–—]+', ' ', 'g'))) AS canonical FROM ({SQL_CLOSED})) GROUP BY doc_id, entity_type, canonical""",
-    "harvest_cues": f"SELECT doc_id, 'contact' AS cue, 'person' AS kind, term FROM ({PERSON})",
+    "harvest_cues": f"SELECT {KEY} AS doc_id, {CUE_NAME} AS cue, 'person' AS kind, {FIRST} || ' ' || {LAST} AS term FROM customer WHERE {CUE_NAME} <> ''",
+    "harvest_glossary": f"""SELECT doc_id, term, unnest(['offer price', concat('cap ', doc_id)]) AS term_norm FROM (SELECT {KEY} AS doc_id, concat('Offer Price / Cap ', {KEY}) AS term FROM customer WHERE {KEY} % 3 <> 0)""",
+    "harvest_names": f"SELECT {KEY} AS doc_id, 'person' AS kind, {FIRST} || ' ' || {LAST} AS term FROM customer WHERE {KEY} % 3 = 0 UNION ALL SELECT {KEY}, 'org', {FIRM} FROM customer WHERE {KEY} % 3 = 0",
+    "base_names": f"""WITH o AS (SELECT doc_id, regexp_replace(term, ' (Private Limited|LLP|Limited)$', '') AS base FROM ({ORGS}))
+SELECT DISTINCT doc_id, term FROM (SELECT doc_id, base AS term FROM o UNION ALL SELECT doc_id, regexp_replace(base, ' II$', '') FROM o) WHERE NOT term LIKE '% Industries'""",
     "table_din_window": f"SELECT {KEY} AS doc_id, {number(15485863, 8)} AS term FROM customer",
-    "family_names": f"SELECT {KEY} AS doc_id, lower({LAST}) AS surname FROM customer",
+    "family_names": f"""WITH p AS ({PEOPLE}), d AS (SELECT doc_id, bool_or(promoter) AS any_promoter FROM p GROUP BY doc_id)
+SELECT DISTINCT doc_id, lower(regexp_extract(term, '([A-Za-z]+)$')) AS surname FROM p JOIN d USING (doc_id) WHERE (promoter OR NOT any_promoter) AND term NOT LIKE '% Rao' AND term NOT LIKE '% Limited'""",
     "gazetteer_match": f"""SELECT f.doc_id, f.block_index, CAST(instr(f.text, p.term) - 1 AS INTEGER) AS "start", CAST(instr(f.text, p.term) - 1 + length(p.term) AS INTEGER) AS "end", p.term AS text
 FROM ({FIXTURE}) f JOIN ({PERSON}) p ON f.doc_id = p.doc_id WHERE contains(f.text, p.term)""",
-    "org_policy": f"SELECT {KEY} AS id, {FIRM} AS value, TRUE AS redactable, TRUE AS marker, FALSE AS generic FROM customer",
-    "person_policy": f"SELECT id, value, regexp_matches(value, '(Limited|Price|lower)$') AS noise FROM (SELECT {KEY} AS id, {FIRST} || ' ' || {name('Mehta,Limited,Price,Rao,lower', 3)} AS value FROM customer)",
+    "org_policy": rules_sql(ORG_RULES, "redactable", "marker", "generic"),
+    "person_policy": rules_sql(PERSON_RULES, "noise"),
+    "gold_offsets": f"""SELECT block_index, CAST(unnest([0, length(text) - length(surface)]) AS INTEGER) AS "start", CAST(unnest([length(surface), length(text)]) AS INTEGER) AS "end", surface AS text, 'PERSON' AS entity_type FROM ({GOLD})""",
     "resolve_overlaps": f"""SELECT id, a AS "start", a + 5 AS "end", 'A' AS entity_type FROM ({PAIR}) UNION ALL SELECT id, b, b + n, 'B' FROM ({PAIR}) WHERE b + n <= a OR a + 5 <= b""",
-    "eval_strict": SQL_EVAL.format(hit="a = b", pairs=PAIR),
-    "eval_relaxed": SQL_EVAL.format(hit="a < b + 5 AND b < a + 5", pairs=PAIR),
-    "eval_chars": f"SELECT CAST(sum(o) AS BIGINT) AS tp_chars, CAST(sum(5 - o) AS BIGINT) AS fp_chars, CAST(sum(5 - o) AS BIGINT) AS fn_chars, CAST(sum(20 + o) AS BIGINT) AS tn_chars FROM (SELECT greatest(0, 5 - abs(a - b)) AS o FROM ({PAIR}))",
+    "eval_strict": sql_eval(True),
+    "eval_relaxed": sql_eval(False),
+    "eval_by_stratum": sql_eval(False, True),
+    "eval_chars": f"""SELECT tp_chars, fp_chars, fn_chars, tn_chars, round((tp_chars + tn_chars) / total, 6) AS accuracy, round(p, 4) AS precision, round(r, 4) AS recall, round(2 * p * r / (p + r), 4) AS f1 FROM (
+SELECT *, total - tp_chars - fp_chars - fn_chars AS tn_chars, tp_chars / (tp_chars + fp_chars) AS p, tp_chars / (tp_chars + fn_chars) AS r FROM (
+SELECT CAST(sum(tp) AS BIGINT) AS tp_chars, CAST(sum(predicted - tp) AS BIGINT) AS fp_chars, CAST(sum(gold - tp) AS BIGINT) AS fn_chars, count(*) * 60 AS total FROM (
+SELECT {CHARS["EMAIL"]} + {CHARS["PERSON"]} + {CHARS["ORG"]} AS tp, 5 + 5 - id % 2 + 4 + 3 AS predicted, 5 + 5 + 15 + 2 AS gold FROM ({PAIR}))))""",
     "stratified_sample": """SELECT doc_id, stratum FROM (SELECT doc_id, stratum, row_number() OVER (PARTITION BY stratum ORDER BY sha256('42|' || doc_id), doc_id) AS r
 FROM (SELECT doc_id, CASE WHEN doc_id < 100 THEN 'front' WHEN doc_id < 150 THEN 'middle' ELSE 'rest' END AS stratum FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id)))
 WHERE r <= CASE stratum WHEN 'front' THEN 15 WHEN 'middle' THEN 60 ELSE 25 END""",
-    "redact_hidden_links": None,
-    "leak_check": "SELECT doc_id, CAST(0 AS INTEGER) AS block_index, '' AS entity_type FROM documents WHERE FALSE",
-    "structure_check": "SELECT doc_id, CAST(0 AS BIGINT) AS blocks, CAST(0 AS INTEGER) AS last_block FROM documents WHERE FALSE",
+    "leak_check": f"""SELECT DISTINCT b.doc_id, b.block_index, v.entity_type FROM ({SQL_LINES}) b JOIN (SELECT DISTINCT doc_id, entity_type, text FROM ({SQL_CLOSED})) v
+ON b.doc_id = v.doc_id AND contains(b.text, v.text) WHERE b.doc_id % 7 = 0""",
+    "structure_check": f"""WITH s AS (SELECT doc_id, count(*) AS blocks, max(block_index) AS last_block FROM ({SQL_LINES}) WHERE doc_id % 5 = 0 GROUP BY doc_id)
+SELECT * FROM s UNION ALL SELECT doc_id, blocks - 1, last_block FROM s WHERE blocks > 1""",
+    "audit_reconcile": f"""WITH c AS ({SQL_CLOSED}), m AS (SELECT count(DISTINCT (entity_type, lower(trim(regexp_replace(text, '[\\s \\-–—]+', ' ', 'g'))))) AS n FROM c)
+SELECT audit, (SELECT count(*) FROM c) AS replacements, CASE audit WHEN 'whole' THEN (SELECT count(*) FROM c) ELSE (SELECT count(*) FROM c WHERE doc_id % 2 = 0) END AS detections, CAST(0 AS BIGINT) AS bad_detections,
+(SELECT n FROM m) AS mappings, CAST(0 AS BIGINT) AS bad_mappings, CAST(0 AS BIGINT) AS leaks, CAST(0 AS BIGINT) AS email_leaks, CAST(0 AS INTEGER) AS cleartext_columns, audit = 'whole' AS passed FROM (SELECT unnest(['whole', 'short']) AS audit)""",
+    "media_policy": f"""SELECT {KEY} AS doc_id, concat('word/media/image', {KEY}) AS part, 'replaced_with_neutral_placeholder' AS action,
+sha256(CASE WHEN {KEY} % 5 = 0 THEN {FIRST} WHEN {KEY} % 2 = 0 THEN 'a neutral png' ELSE 'a neutral jpeg' END) AS sha256, {KEY} % 5 = 0 AS differs FROM customer""",
 }
 ORACLES = {k: v for k, v in ORACLES.items() if v}

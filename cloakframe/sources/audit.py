@@ -38,3 +38,21 @@ def manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(path, bytes, sha256) of all files under a path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def write_evaluation(path: str, reports: dict[str, DataFrame]) -> None:
+    """Each report as JSON lines under a path."""
+    for name, report in reports.items():
+        report.write.json(f"{path}/{name}")
+
+
+GOLD = "block_index int, stratum string, block_id string, text string, entities array<struct<start:int,end:int,text:string,entity_type:string>>"
+
+
+def write_gold(path: str, gold: DataFrame) -> None:
+    """Gold blocks as JSON lines; a sample without entities is written in the same way."""
+    gold.write.json(path)
+
+
+def read_gold(spark: SparkSession, path: str) -> DataFrame:
+    return read_json_lines(spark, path, GOLD)

@@ -4,6 +4,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from cloakframe.operators import deliver
 from cloakframe.operators import evaluate as ev
 from cloakframe.operators import redact as rd
 from cloakframe.operators import verify as vf
@@ -51,6 +52,44 @@ def test_docx(spark, tmp_path):
         assert z.read("word/media/image1.png") == b"blank" and z.testzip() is None
 
 
+def test_folders_are_redacted_and_verified(spark, tmp_path):
+    source, target = tmp_path / "in", tmp_path / "out"
+    (source / "sub").mkdir(parents=True)
+    (source / "a.docx").write_bytes(package())
+    (source / "sub" / "b.docx").write_bytes(package())
+    blank = {"image/png": b"a neutral png"}
+    made = deliver.redact_folder(spark, str(source), str(target), blank)
+    assert sorted(r.name for r in made["written"].collect()) == ["a.docx", "sub/b.docx"]
+    summary = made["summary"].first()
+    assert (summary.hidden_field_values, summary.image_parts, summary.replacements) == (2, 2, 4) and summary.gazetteer["glossary"] == 4
+    report = deliver.verify_folder(spark, str(source), str(target), blank).first()
+    assert report.passed and report.documents == 2 and report.source_values == 6
+    # What is left of the sources is found: here, all of one file.
+    (target / "a.docx").write_bytes(package())
+    report = deliver.verify_folder(spark, str(source), str(target), blank).first()
+    assert not report.passed and (report.visible_leaks, report.hidden_leaks, report.media_differences, report.structure_differences) == (2, 1, 1, 0)
+    with pytest.raises(Exception, match="no placeholder"):
+        deliver.redact_folder(spark, str(source), str(target), {"image/jpeg": b"x"})
+
+
+def test_headers_by_section_and_structure(tmp_path):
+    run = lambda t, mark="": f'<w:r><w:rPr>{mark}</w:rPr><w:t>{t}</w:t></w:r>'
+    rels = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="header2.xml"/><Relationship Id="r2" Target="/word/footer9.xml"/></Relationships>'
+    section = f'<w:sectPr xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><w:headerReference w:type="first" r:id="r1"/><w:footerReference w:type="default" r:id="r2"/></w:sectPr>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        bold, off = run("b", "<w:b/>"), run("c", '<w:b w:val="false"/>')
+        z.writestr("word/document.xml", f"<w:document {W}><w:body><w:p>{run('a')}{bold}{off}</w:p><w:tbl/>{section}</w:body></w:document>")
+        z.writestr("word/_rels/document.xml.rels", rels)
+        for name in ("header1", "header2", "footer9"):
+            z.writestr(f"word/{name}.xml", f"<w:hdr {W}><w:p>{run(name)}</w:p></w:hdr>")
+        z.writestr("customXml/item1.xml", f"<x {W}><w:instrText>MAILTO q@r.org</w:instrText></x>")
+    records = list(docx.read_package(out.getvalue()))
+    assert [r["text"] for k, r in records if k == "run"] == ["a", "b", "c", "footer9", "header2", "header1"]
+    assert [r["part"] for k, r in records if k == "field"] == ["customXml/item1.xml"]
+    assert [r for k, r in records if k == "structure"] == [{"paragraphs": 1, "tables": 1, "sections": 1, "bold_runs": 1, "sound": True}]
+
+
 def spans(*rows):
     return [{"start": s, "end": e, "entity_type": k} for s, e, k in rows]
 
@@ -94,6 +133,28 @@ def test_gold_and_samples(spark):
     assert two.join(one, "block_index").count() == 0
 
 
+def test_evaluation_driver(spark, tmp_path):
+    rows = [(0, "mail a.b@c.org and x.y@z.org"), (1, "Phone: +91 98765 43210"), (2, "nothing"), (3, "host 10.0.0.1")]
+    blocks = spark.createDataFrame(rows, "block_index int, text string").selectExpr("1L AS doc_id", "block_index", "concat('body#', block_index) AS block_id", "text")
+    sample = ev.stratified_sample(blocks, [("front", 0, 2, 9), ("rest", 0, 99, 9)])
+    marks = spark.createDataFrame([(0, "a.b@c.org", "EMAIL"), (0, "mail", "PERSON"), (1, "+91 98765 43210", "PHONE")], "block_index int, surface string, entity_type string")
+    gold = ev.gold_blocks(sample, blocks, marks)
+    audit.write_gold(str(tmp_path / "gold"), gold)
+    gold = audit.read_gold(spark, str(tmp_path / "gold"))
+    reports = ev.evaluate(gold, rd.detect(blocks))
+    strict = {r.entity_type: (r.tp, r.fp, r.fn) for r in reports["strict"].collect()}
+    assert strict["EMAIL"] == (1, 1, 0) and strict["PERSON"] == (0, 0, 1) and strict["PHONE"] == (1, 0, 0) and strict["MICRO_AVG"] == (2, 2, 1)
+    assert {(r.kind, r.type) for r in reports["errors"].collect()} == {("missed", "PERSON"), ("spurious", "EMAIL"), ("spurious", "IP_ADDRESS")}
+    assert {r.stratum for r in reports["by_stratum"].collect()} == {"front", "rest"}
+    audit.write_evaluation(str(tmp_path / "reports"), reports)
+    assert spark.read.json(f"{tmp_path}/reports/strict").count() == reports["strict"].count()
+    assert ev.report_table(reports["strict"], "Strict").count("| EMAIL |") == 1
+    assert {r.entity_type: r.spans for r in ev.counts_by_type(gold.selectExpr("explode(entities.entity_type) AS entity_type")).collect()} == {"EMAIL": 1, "PERSON": 1, "PHONE": 1}
+    with pytest.raises(ValueError, match="not in the sample"):
+        ev.gold_blocks(sample.where("block_index <> 0"), blocks, marks)
+    assert [sum(n for *_, n in ev.DESIGNS[v]) for v in ("v1", "v2")] == [130, 200]
+
+
 def test_verify_and_sinks(spark, tmp_path):
     blocks = spark.createDataFrame([(1, 0, "b#0", "mail a.b@acme.org now"), (1, 1, "b#1", "plain")], "doc_id long, block_index int, block_id string, text string")
     made, mapping = rd.redact(blocks)
