@@ -220,8 +220,10 @@ class Counts:
         self.start, self.move = np.zeros(states), np.zeros((states, states))
         self.emit = np.zeros((symbols, states))
 
-    def add(self, rows: list[np.ndarray], model: Model, cells: int) -> None:
-        for _, steps, alive in packs(rows, cells):
+    def add(self, rows: list[np.ndarray], model: Model, cells: int, tied: int = 0) -> None:
+        """Symbols beyond the model's are emitted as the tied one is, but counted by themselves."""
+        for _, own, alive in packs(rows, cells):
+            steps = np.where(own < len(model.emit), own, tied) if len(self.emit) > len(model.emit) else own
             _, states, scales = forward(steps, alive, model, keep=True)
             posterior = [None] * len(steps)
             beta = np.ones_like(states[-1])
@@ -233,10 +235,10 @@ class Counts:
                     beta = np.ones_like(states[t - 1])
                     beta[: alive[t]] = ahead @ model.move.T
             self.start += posterior[0].sum(axis=0)
-            flat = np.concatenate([steps[t, : alive[t]] for t in range(len(steps))])
-            weights = np.concatenate(posterior)
+            flat = np.concatenate([own[t, : alive[t]] for t in range(len(own))])
+            weights = np.ascontiguousarray(np.concatenate(posterior).T)
             for k in range(self.emit.shape[1]):
-                self.emit[:, k] += np.bincount(flat, weights[:, k], len(self.emit))
+                self.emit[:, k] += np.bincount(flat, weights[k], len(self.emit))
 
     def model(self, shares: np.ndarray, rules: HmmRules, joined: tuple = (0.0, 0.0, 0.0)) -> Model:
         """The next weights; ``joined`` has the joined words' counts, these up to 1 each, and their share of the corpus."""
@@ -339,7 +341,9 @@ def corpus_counts(rows: DataFrame, model: Model, vocabulary: Vocabulary, rules:
     Words outside the broadcast table are emitted as the rare symbol is. The
     last round counts them one by one, so that each can have emissions of its own.
     """
-    shared = rows.sparkSession.sparkContext.broadcast((model, vocabulary.rare))
+    # Posteriors need no more than 32 bits, and a smaller table stays in the processor's cache; scores keep 64.
+    light = Model(*(x.astype(np.float32) for x in (model.start, model.move, model.emit)))
+    shared = rows.sparkSession.sparkContext.broadcast((light, vocabulary.rare))
     names = state_names(rules)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,9 +367,8 @@ def corpus_counts(rows: DataFrame, model: Model, vocabulary: Vocabulary, rules:
                 if not len(sizes):
                     continue
                 n = len(hashes) if last else 0
-                local = Model(model.start, model.move, np.vstack([model.emit, np.repeat(model.emit[rare : rare + 1], n, axis=0)]))
                 counts = Counts(base + n, rules.states)
-                counts.add(sequences(places, sizes, rare, base if last else None), local, rules.cells)
+                counts.add(sequences(places, sizes, rare, base if last else None), model, rules.cells, rare)
                 total.start += counts.start
                 total.move += counts.move
                 total.emit += counts.emit[:base]
