@@ -61,3 +61,15 @@ def test_a_language_of_copies_has_a_profile(spark):
     docs = spark.createDataFrame([("aa", copied)] * 50 + [("bb", f"other text {'xyz'[i % 3] * i}") for i in range(50)], "lang string, text string")
     profiles = langid.learn(docs, rules=ProfileRules(sample=10))
     assert set(profiles) == {"aa", "bb"} and len(profiles["aa"])
+
+
+def test_many_languages_and_one_text_of_most_rows(spark):
+    """Ranks grow with the profiles; a language of one text, repeated in nine rows of ten, is learned all the same."""
+    words = lambda i: " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + k)}{'oe'[k % 2]}" for k in range(12))
+    rows = [(words(i), f"l{i:03}") for i in range(200)]
+    docs = spark.createDataFrame(rows + [(words(7), "l007")] * 1800, "text string, lang string").repartition(4)
+    profiles = langid.learn(docs, rules=langid.ProfileRules(sample=3))
+    assert len(profiles) == 200
+    made = langid.Classifier(profiles, langid.ProfileRules())
+    assert len(made.rank) == len(made.lang) == sum(map(len, profiles.values()))
+    assert [made.predict(t)[0] for t, _ in rows] == [name for _, name in rows]
