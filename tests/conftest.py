@@ -15,6 +15,7 @@ def spark():
         .config("spark.driver.memory", "4g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.codegen.wholeStage", "false")  # compiling takes longer than the small tables do
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("OFF")
