@@ -38,6 +38,7 @@ DETECT = [
     ("Copper Looms Limited B-31, Wharf View, East End", "ADDRESS", ["B-31, Wharf View, East End"]),
     ("Copper Looms Limited, as of 2021, has been asked to file", "ADDRESS", []),
     ("Registered Office: Old Mill, 4 Dyers Street, Pune 411 002; then", "ADDRESS", ["Old Mill, 4 Dyers Street, Pune 411 002"]),
+    ("We moved. Flat no. 123456, Fern Street, Pune 411 002, and stayed", "ADDRESS", ["Flat no. 123456, Fern Street, Pune 411 002"]),
     ("one near road, behind it all and so on\nOld Mill, Sector 4, Canal Colony;", "ADDRESS", ["one near road, behind it all and so on", "Old Mill, Sector 4, Canal Colony"]),
     ("😀 post é@x p.q@r.st", "EMAIL", ["p.q@r.st"]),
     ("", "EMAIL", []),
