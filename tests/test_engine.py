@@ -96,6 +96,12 @@ def test_apply_spans(spark):
     assert [r[0] for r in df.select(apply_spans(F.col("t"), F.col("e"))).collect()] == ["a😀XYZdf", "same"]
 
 
+def test_apply_spans_that_overlap(spark):
+    cases = [([(1, 4, "X"), (3, 6, "Y")], "aX Yg"), ([(1, 6, "X"), (2, 4, "Y"), (6, 7, "Z")], "aXZ"), ([(1, 3, "X"), (1, 5, "Y")], "aX Yfg")]
+    df = spark.createDataFrame([("abcdefg", e) for e, _ in cases], "t string, e array<struct<start:int,end:int,replacement:string>>")
+    assert [r[0] for r in df.select(apply_spans(F.col("t"), F.col("e"))).collect()] == [want for _, want in cases]
+
+
 @pytest.mark.parametrize(
     "value,want",
     [("RBI", 0), ("Companies Act, 1956", 0), ("NSE", 0), ("High Court", 0), ("Bid Amount", 0), ("Copper Looms Limited", 1), ("Teak & Co. LLP", 1), ("Fern Alloys NV", 1), ("Iyer Family Trust", 1), ("Public Limited", 0), ("Mehta Pumps", 1)],
