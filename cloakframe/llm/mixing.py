@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import warnings
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from cloakframe.llm.common import aside, checkpointed, discard, drawn_texts, stored, text_bytes
+from cloakframe.llm.common import aside, checkpointed, discard, stored, text_bytes
 
 AXES = ("source", "lang", "topic")
 
@@ -28,10 +28,8 @@ class MixRules:
     targets: dict[str, dict[str, float]] = field(default_factory=dict)
     #: Share of all tokens to sample, in expectation.
     keep_tokens: float = 0.5
-    #: Clusters of texts, the texts they are fitted to and how much of each, and the hash rows of words.
+    #: Clusters of texts, the rounds in which they are fitted, and the hash rows of words.
     topics: int = 8
-    topic_texts: int = 2000
-    topic_chars: int = 20_000
     topic_rounds: int = 10
     rows: int = 4096
     tolerance: float = 1e-9
@@ -41,81 +39,161 @@ class MixRules:
     driver_cells: int = 200_000
 
 
-def buckets(words: Counter, memo: dict[bytes, int], rules: MixRules) -> tuple[np.ndarray, np.ndarray]:
-    """The hash rows of a text's words, and the logarithms of their counts, one more each."""
+def buckets(words: Counter, memo: dict[bytes, int], rules: MixRules) -> tuple[bytes, bytes]:
+    """The hash rows of a text's words, and in each the sum of the logarithms of their counts, one more each."""
     if len(memo) > 400_000:
         memo.clear()
     for w in words:
         if w not in memo:
             memo[w] = xxhash.xxh64_intdigest(w, rules.seed) % rules.rows
-    return np.fromiter((memo[w] for w in words), np.int64, len(words)), np.log1p(np.fromiter(words.values(), float, len(words)))
+    sums = np.bincount(np.fromiter((memo[w] for w in words), np.int64, len(words)), np.log1p(np.fromiter(words.values(), float, len(words))))
+    at = sums.nonzero()[0]
+    return at.astype(np.uint32 if rules.rows > 1 << 16 else np.uint16).tobytes(), sums[at].astype(np.float32).tobytes()
+
+
+def vectors(docs: DataFrame, text: str, rules: MixRules) -> DataFrame:
+    """Adds n_tokens (words), and _at and _n: the hash rows of the whole text and what they hold."""
+    where, names = docs.columns.index(text), docs.columns
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[bytes, int] = {}
+        for batch in batches:
+            sizes, held = [], []
+            for value in batch.column(where):
+                ws = text_bytes(value.as_py()).lower().split()
+                sizes.append(len(ws))
+                held.append(buckets(Counter(ws), memo, rules))
+            more = [pa.array(sizes, pa.int64()), *[pa.array([h[i] for h in held], pa.binary()) for i in (0, 1)]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*names, "n_tokens", "_at", "_n"])
+
+    return docs.mapInArrow(count, StructType(list(docs.schema.fields)).add("n_tokens", "long").add("_at", "binary").add("_n", "binary"))
+
+
+def flat(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all of a column's values in a row, and where each value's begin, with the end of the last."""
+    column = column.cast(pa.binary())
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    return np.frombuffer(data.tobytes(), kind), (ends - ends[0]) // np.dtype(kind).itemsize
+
+
+#: Unit vectors are summed as whole numbers of this part, so that sums don't depend on the order of rows.
+PART = 1 << 30
+#: Rows of a batch that are held against the centroids at once.
+STEP = 1000
 
 
 @dataclass
 class Topics:
-    """Clusters of hashed word vectors: each row's weight, and the centroids (topics, rows)."""
+    """Clusters of hashed word vectors: each hash row's weight, and the centroids (topics, rows)."""
 
     weight: np.ndarray
     centroids: np.ndarray
 
-    def of(self, words: Counter, memo: dict[bytes, int], rules: MixRules) -> str:
+    def near(self, at: pa.Array, n: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """By some rows at a time, those that have weight: their places, lengths and dot products with the centroids;
+        and their numbers: of which of those rows each is, its hash row, its value."""
+        columns = np.ascontiguousarray(self.centroids.T.astype(np.float32))
+        for first in range(0, len(at), STEP):
+            rows, ends = flat(at.slice(first, STEP), np.uint32 if len(self.weight) > 1 << 16 else np.uint16)
+            value = flat(n.slice(first, STEP), np.float32)[0] * self.weight[rows].astype(np.float32)
+            of = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+            size = np.sqrt(np.bincount(of, value.astype(float) ** 2, len(ends) - 1))
+            has = size > 0
+            keep = has[of]
+            rows, value = rows[keep], value[keep]
+            new = (np.cumsum(has) - 1)[of[keep]]
+            if not len(rows):
+                continue
+            starts = np.r_[0, np.flatnonzero(np.diff(new)) + 1]
+            dots = np.add.reduceat(columns[rows] * value[:, None], starts, axis=0) if len(self.centroids) else np.zeros((has.sum(), 0))
+            yield first + np.flatnonzero(has), size[has], dots, new, rows, value
+
+    def of(self, at: pa.Array, n: pa.Array) -> pa.Array:
         """The topic nearest by angle, the first of ties; 'none' without a word that the clusters know."""
-        at, n = buckets(words, memo, rules)
-        value = n * self.weight[at]
-        if not len(self.centroids) or not value.any():
-            return "none"
-        return str(int((self.centroids[:, at] @ value).argmax()))
+        found = np.full(len(at), "none", object)
+        if len(self.centroids):
+            for places, _, dots, _, _, _ in self.near(at, n):
+                found[places] = dots.argmax(axis=1).astype(str)
+        return pa.array(found, pa.string())
 
 
-def learn_topics(docs: DataFrame, text: str, rules: MixRules) -> Topics:
-    """Spherical k-means over ``topic_texts`` distinct texts at most, chosen by hash, ``topic_chars`` characters of each.
+def summed(vectors: DataFrame, arrays: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int) -> np.ndarray:
+    """The sum over all partitions of an array of whole numbers of that size that each makes of its rows."""
 
-    Rows that most texts have weigh little. The first centroids are the texts
-    that are least like one another, from the one of most weight on.
-    """
-    texts = sorted(r[0] or "" for r in drawn_texts(docs, text, rules.topic_texts, rules.topic_chars).collect())
-    memo: dict[bytes, int] = {}
-    vectors = np.zeros((len(texts), rules.rows), np.float32)
-    for i, t in enumerate(texts):
-        at, n = buckets(Counter(text_bytes(t).lower().split()), memo, rules)
-        np.add.at(vectors[i], at, n)
-    weight = np.log((1 + len(texts)) / (1 + (vectors > 0).sum(axis=0)))
-    vectors *= weight
-    size = np.linalg.norm(vectors, axis=1)
-    vectors = vectors[size > 0] / size[size > 0, None]
-    if not len(vectors):
-        return Topics(weight, np.zeros((0, rules.rows)))
-    chosen = [int(size[size > 0].argmax())]
-    nearest = vectors @ vectors[chosen[0]]
-    while len(chosen) < min(rules.topics, len(vectors)):
-        chosen.append(int(nearest.argmin()))
-        nearest = np.maximum(nearest, vectors @ vectors[chosen[-1]])
-    centroids = vectors[chosen]
-    for _ in range(rules.topic_rounds):
-        own = (vectors @ centroids.T).argmax(axis=1)
-        sums = np.zeros_like(centroids)
-        np.add.at(sums, own, vectors)
-        length = np.linalg.norm(sums, axis=1, keepdims=True)
-        centroids = np.where(length > 0, sums / np.maximum(length, 1e-12), centroids)
-    return Topics(weight, centroids)
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = arrays(batches)
+        at = values.nonzero()[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(values[at], pa.int64())], ["i", "v"])
 
+    found = vectors.mapInArrow(made, "i long, v long").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+    total = np.zeros(size, np.int64)
+    total[found["i"].to_numpy()] = found["v"].to_numpy()
+    return total
 
-def describe(docs: DataFrame, text: str, rules: MixRules) -> DataFrame:
-    """Adds n_tokens (words) and topic: the nearest of the clusters of learn_topics; 'none' for texts without known words."""
-    where, names = docs.columns.index(text), docs.columns
-    shared = docs.sparkSession.sparkContext.broadcast(learn_topics(docs, text, rules))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[bytes, int] = {}
+def farthest(vectors: DataFrame, topics: Topics) -> np.ndarray | None:
+    """The unit vector of the text of most weight apart from the nearest centroid; none where all are on one."""
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top: tuple = (0.0, b"", b"")
         for batch in batches:
-            sizes, topics = [], []
-            for value in batch.column(where):
-                ws = text_bytes(value.as_py()).lower().split()
-                sizes.append(len(ws))
-                topics.append(shared.value.of(Counter(ws), memo, rules))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64()), pa.array(topics, pa.string())], [*names, "n_tokens", "topic"])
+            at, n = batch.columns
+            for places, size, dots, *_ in topics.near(at, n):
+                score = size - dots.max(axis=1, initial=0.0)
+                for i in np.flatnonzero(score >= max(score.max(), top[0])):
+                    top = max(top, (float(score[i]), at[int(places[i])].as_py(), n[int(places[i])].as_py()))
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in top], ["score", "at", "n"])
+
+    found = vectors.mapInArrow(best, "score double, at binary, n binary").orderBy(F.desc("score"), F.desc("at"), F.desc("n")).first()
+    if found is None or found.score <= 1e-3:
+        return None
+    at, n = (pa.array([bytes(x)], pa.binary()) for x in found[1:])
+    *_, rows, value = next(Topics(topics.weight, topics.centroids[:0]).near(at, n))
+    made = np.zeros(len(topics.weight))
+    made[rows] = value
+    return made / np.linalg.norm(made)
+
+
+def learn_topics(docs: DataFrame, rules: MixRules) -> Topics:
+    """Spherical k-means over the vectors of all documents, copies too.
+
+    Rows that most texts have weigh little. The first centroids are the texts
+    that have most weight apart from the ones before. All rounds read all rows,
+    and their sums are of whole numbers, so the order of rows doesn't matter.
+    """
+    docs, size = docs.select("_at", "_n"), rules.rows
 
-    return docs.mapInArrow(count, StructType(list(docs.schema.fields)).add("n_tokens", "long").add("topic", "string"))
+    def holders(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        held = np.zeros(size + 1, np.int64)
+        for batch in batches:
+            held[:size] += np.bincount(flat(batch.column(0), np.uint32 if size > 1 << 16 else np.uint16)[0], minlength=size)
+            held[size] += batch.num_rows
+        return held
+
+    held = summed(docs, holders, size + 1)
+    topics = Topics(np.log((1 + held[size]) / (1 + held[:size])), np.zeros((0, size)))
+    while len(topics.centroids) < rules.topics and (one := farthest(docs, topics)) is not None:
+        topics = Topics(topics.weight, np.vstack([topics.centroids, one]))
+    count = len(topics.centroids)
+    for _ in range(rules.topic_rounds if count else 0):
+
+        def members(batches: Iterator[pa.RecordBatch], topics: Topics = topics) -> np.ndarray:
+            sums = np.zeros(count * size, np.int64)
+            for batch in batches:
+                for _, length, dots, of, rows, value in topics.near(*batch.columns):
+                    parts = np.rint(value / length[of] * PART)
+                    sums += np.bincount(dots.argmax(axis=1)[of] * size + rows, parts, count * size).astype(np.int64)
+            return sums
+
+        sums = summed(docs, members, count * size).reshape(count, size).astype(float)
+        length = np.linalg.norm(sums, axis=1, keepdims=True)
+        following = np.where(length > 0, sums / np.maximum(length, 1e-12), topics.centroids)
+        settled = np.array_equal(following, topics.centroids)
+        topics = Topics(topics.weight, following)
+        if settled:
+            break
+    return topics
 
 
 def cell(name: str):
@@ -245,19 +323,20 @@ def mix(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str =
     Repeated ids draw alike, and so do all rows of null id. Columns of the new
     names are replaced, others stay. No documents, no rows. ``drop`` names columns
     to leave out of the result. Margins that can't be met give a warning; margins()
-    lists what was reached. Topics are fitted to a bounded sample; all else counts
-    whole texts of all rows.
+    lists what was reached. Topics, as all else, are learned from whole texts of
+    all rows; the rounds read their hashed vectors, which are stored once.
 
     Cells are summed before the shuffle, so a source with a third of all rows
     costs a row for each of its cells and tasks.
     """
     new, own = ("n_tokens", "topic", "weight", "prob", "sampled"), (doc, text, source, lang)
     docs, back = aside(docs.drop(*[c for c in docs.columns if c.lower() in new or c in drop and c not in own]), *own)
-    described = stored(describe(docs, text, rules).drop(*[c for c in drop if c in own]))
-    keyed = described.withColumns({"_s": cell(source), "_l": cell(lang)})
+    described = stored(vectors(docs, text, rules).drop(*[c for c in drop if c in own]))
+    topic = F.arrow_udf(learn_topics(described, rules).of, "string")
+    keyed = described.withColumns({"topic": topic("_at", "_n"), "_s": cell(source), "_l": cell(lang)}).drop("_at", "_n")
     cells = keyed.groupBy(F.col("_s").alias("source"), F.col("_l").alias("lang"), F.concat(F.lit("="), "topic").alias("topic"))
     cells = checkpointed(cells.agg(F.sum("n_tokens").alias("tokens")))
     found = stored(calibrate(cells, rules).select(*[F.col(a).alias(f"_{a}") for a in AXES], "weight", "prob"))
     joined = keyed.join(found, (F.col("_s") == F.col("_source")) & (F.col("_l") == F.col("_lang")) & (F.concat(F.lit("="), "topic") == F.col("_topic")), "left")
     draw = F.xxhash64(F.col(doc).cast("string"), F.lit(rules.seed)).cast("double") / F.lit(float(2**64)) + 0.5
-    return back(joined.withColumn("sampled", draw < F.col("prob")).select(*described.columns, "weight", "prob", "sampled"))
+    return back(joined.withColumn("sampled", draw < F.col("prob")).select(*[c for c in keyed.columns if c not in ("_s", "_l")], "weight", "prob", "sampled"))

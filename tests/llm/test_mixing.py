@@ -93,3 +93,15 @@ def test_topics_are_clusters(spark):
     topics = {r.doc_id: r.topic for r in mixing.mix(docs, rules=MixRules(topics=2)).collect()}
     assert len({topics[i] for i in range(0, 60, 2)}) == 1 and len({topics[i] for i in range(1, 60, 2)}) == 1 and topics[0] != topics[1]
     assert {topics[i] for i in range(1000, 1300)} == {topics[0]}
+
+
+def test_topics_are_learned_from_all_documents(spark):
+    """Texts that no sample of the 2,000 lowest hashes has are a topic of their own."""
+    from pyspark.sql import functions as F
+
+    common = spark.range(2500).select("id", F.concat_ws(" ", *[F.concat(F.lit("a"), F.pmod(F.xxhash64("id", F.lit(k)), F.lit(30)), F.lit("word")) for k in range(12)], F.concat(F.lit("a"), F.pmod("id", F.lit(50)))).alias("text"))
+    bound = common.select(F.xxhash64("text").alias("h")).distinct().orderBy("h").limit(2000).agg(F.max("h")).first()[0]
+    rare = spark.range(10_000, 10_200).select("id", F.concat_ws(" ", *[F.concat(F.lit("b"), F.pmod(F.xxhash64("id", F.lit(k)), F.lit(20))) for k in range(12)]).alias("text")).where(F.xxhash64("text") > bound).limit(8)
+    docs = common.unionByName(rare).select(F.col("id").alias("doc_id"), "text", F.lit("s").alias("source"), F.lit("x").alias("lang"))
+    topics = {r.doc_id: r.topic for r in mixing.mix(docs, rules=MixRules(topics=2)).collect()}
+    assert len({t for i, t in topics.items() if i >= 10_000}) == 1 and len({t for i, t in topics.items() if i < 10_000}) == 1 and len(set(topics.values())) == 2
