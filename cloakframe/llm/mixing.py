@@ -39,16 +39,30 @@ class MixRules:
     driver_cells: int = 200_000
 
 
-def buckets(words: Counter, memo: dict[bytes, int], rules: MixRules) -> tuple[bytes, bytes]:
+class HashRows(dict):
+    """The hash row of each word, worked out when it is first asked for."""
+
+    def __init__(self, rules: MixRules) -> None:
+        self.rules = rules
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = row = xxhash.xxh64_intdigest(word, self.rules.seed) % self.rules.rows
+        return row
+
+
+#: The logarithms of counts, one more each, of the usual counts.
+LOGS = np.log1p(np.arange(1 << 12))
+
+
+def buckets(words: Counter, memo: HashRows) -> tuple[bytes, bytes]:
     """The hash rows of a text's words, and in each the sum of the logarithms of their counts, one more each."""
     if len(memo) > 400_000:
         memo.clear()
-    for w in words:
-        if w not in memo:
-            memo[w] = xxhash.xxh64_intdigest(w, rules.seed) % rules.rows
-    sums = np.bincount(np.fromiter((memo[w] for w in words), np.int64, len(words)), np.log1p(np.fromiter(words.values(), float, len(words))))
+    n = np.fromiter(words.values(), np.int64, len(words))
+    logs = LOGS[n] if n.max(initial=0) < len(LOGS) else np.log1p(n)
+    sums = np.bincount(np.fromiter(map(memo.__getitem__, words), np.int64, len(words)), logs)
     at = sums.nonzero()[0]
-    return at.astype(np.uint32 if rules.rows > 1 << 16 else np.uint16).tobytes(), sums[at].astype(np.float32).tobytes()
+    return at.astype(np.uint32 if memo.rules.rows > 1 << 16 else np.uint16).tobytes(), sums[at].astype(np.float32).tobytes()
 
 
 def vectors(docs: DataFrame, text: str, rules: MixRules) -> DataFrame:
@@ -56,13 +70,13 @@ def vectors(docs: DataFrame, text: str, rules: MixRules) -> DataFrame:
     where, names = docs.columns.index(text), docs.columns
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[bytes, int] = {}
+        memo = HashRows(rules)
         for batch in batches:
             sizes, held = [], []
             for value in batch.column(where):
                 ws = text_bytes(value.as_py()).lower().split()
                 sizes.append(len(ws))
-                held.append(buckets(Counter(ws), memo, rules))
+                held.append(buckets(Counter(ws), memo))
             more = [pa.array(sizes, pa.int64()), *[pa.array([h[i] for h in held], pa.binary()) for i in (0, 1)]]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*names, "n_tokens", "_at", "_n"])
 
@@ -100,9 +114,11 @@ class Topics:
             of = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
             size = np.sqrt(np.bincount(of, value.astype(float) ** 2, len(ends) - 1))
             has = size > 0
-            keep = has[of]
-            rows, value = rows[keep], value[keep]
-            new = (np.cumsum(has) - 1)[of[keep]]
+            new = of
+            if not has.all():
+                keep = has[of]
+                rows, value = rows[keep], value[keep]
+                new = (np.cumsum(has) - 1)[of[keep]]
             if not len(rows):
                 continue
             starts = np.r_[0, np.flatnonzero(np.diff(new)) + 1]
