@@ -47,6 +47,45 @@ def test_forward_and_counts_against_all_paths():
     assert np.allclose(counts.start, start) and np.allclose(counts.move, move) and np.allclose(counts.emit, emit)
 
 
+def test_packs_hold_symbols_without_padding():
+    """One long text takes no room from the short ones, so steps, and the time of a step, are shared by all."""
+    rng = np.random.default_rng(5)
+    rows = [rng.integers(0, 5, n) for n in (1000, *[3] * 300, 40)]
+    packs = list(hmm.packs(rows, 2000))
+    assert [len(part) for part, *_ in packs] == [302]
+    (part, steps, alive), sizes = packs[0], [len(r) for r in rows]
+    assert steps.size == sum(sizes) and len(alive) == 1000
+    begins = np.cumsum(alive) - alive
+    assert all((steps[begins[: sizes[i]] + b] == rows[i]).all() for b, i in enumerate(part))
+
+
+def test_long_texts_of_unlikely_words_neither_vanish_nor_overflow():
+    """Sums scaled in every few steps are those of a recursion that is scaled in each."""
+    model, rng = toy(6), np.random.default_rng(7)
+    model.emit *= 1e-14
+    model.move = np.where(np.eye(3) > 0, 1 - 2e-11, 1e-11)
+    row = rng.integers(0, 5, 3001)
+    total, a = 0.0, None
+    for s in row:
+        a = (model.start if a is None else a @ model.move) * model.emit[s]
+        total += math.log(a.sum())
+        a = a / a.sum()
+    (_, steps, alive), = hmm.packs([row], 10)
+    assert math.isclose(hmm.forward(steps, alive, model)[0][0], total, rel_tol=1e-12)
+    counts = hmm.Counts(5, 3)
+    counts.add([row], model, 10)
+    assert math.isclose(counts.emit.sum(), 3001, rel_tol=1e-9) and math.isclose(counts.move.sum(), 3000, rel_tol=1e-9)
+
+
+def test_places_of_words_met_together():
+    hashes = hmm.word_hashes([b"c", b"a", b"b"])
+    places = hmm.Places(hashes)
+    for ws, want, apart in (([b"x", b"a", b"y", b"x", b"c"], [-1, 1, -2, -1, 0], [b"x", b"y"]), ([b"b", b"y", b"a"], [2, -1, 1], [b"y"]), ([], [], [])):
+        at, h = places.of(ws)
+        assert at.tolist() == want and h.tolist() == hmm.word_hashes(apart).tolist()
+    assert set(places) == {b"a", b"b", b"c"}
+
+
 def test_rounds_raise_the_likelihood():
     rng = np.random.default_rng(2)
     rows = [np.r_[rng.integers(0, 3, 30) + 3 * (i % 2), 7] for i in range(40)]
