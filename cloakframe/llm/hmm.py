@@ -240,25 +240,33 @@ class Counts:
         """Symbols beyond the model's are emitted as the tied one is, but counted by themselves."""
         for _, own, alive in packs(rows, cells):
             steps = np.where(own < len(model.emit), own, tied) if len(self.emit) > len(model.emit) else own
-            _, states, ahead, last, ends = forward(steps, alive, model)
-            # As the emissions have the scales in them, a state's sum times its beta is its posterior.
-            beta, back = np.empty_like(states), np.ascontiguousarray(model.move.T)
-            beta[last] = 1 / ends[:, None]
-            to, counts = len(states), alive.tolist()
-            for t in range(len(counts) - 1, 0, -1):
-                at = to - counts[t]
-                w = ahead[at:to]
-                w *= beta[at:to]
-                np.dot(w, back, out=beta[at - counts[t - 1] : at - counts[t - 1] + counts[t]])
-                to = at
-            first = counts[0]
-            before = np.take(states, np.arange(first, len(states)) - np.repeat(alive[:-1], alive[1:]), axis=0)
-            self.move += before.T @ ahead[first:] * model.move
-            states *= beta
-            self.start += states[:first].sum(axis=0)
-            weights = np.ascontiguousarray(states.T)
+            posteriors = self.passed(steps, alive, model)
             for k in range(self.emit.shape[1]):
-                self.emit[:, k] += np.bincount(own, weights[k], len(self.emit))
+                self.emit[:, k] += np.bincount(own, posteriors[k], len(self.emit))
+            del posteriors  # before the next pack's
+
+    def passed(self, steps: np.ndarray, alive: np.ndarray, model: Model) -> np.ndarray:
+        """The posteriors of a pack's steps, by state; starts and moves are added."""
+        _, states, ahead, last, ends = forward(steps, alive, model)
+        # As the emissions have the scales in them, a state's sum times its beta is its posterior.
+        beta, back = np.empty_like(states), np.ascontiguousarray(model.move.T)
+        beta[last] = 1 / ends[:, None]
+        to, counts = len(states), alive.tolist()
+        for t in range(len(counts) - 1, 0, -1):
+            at = to - counts[t]
+            w = ahead[at:to]
+            w *= beta[at:to]
+            np.dot(w, back, out=beta[at - counts[t - 1] : at - counts[t - 1] + counts[t]])
+            to = at
+        first = counts[0]
+        beta *= states
+        self.start += beta[:first].sum(axis=0)
+        before = np.arange(first, len(states)) - np.repeat(alive[:-1], alive[1:])
+        for i in range(0, len(before), 1 << 15):
+            part = before[i : i + (1 << 15)]
+            self.move += np.take(states, part, axis=0).T @ ahead[first + i : first + i + len(part)] * model.move
+        del states, ahead
+        return np.ascontiguousarray(beta.T)
 
     def model(self, shares: np.ndarray, rules: HmmRules, joined: tuple = (0.0, 0.0, 0.0)) -> Model:
         """The next weights; ``joined`` has the joined words' counts, these up to 1 each, and their share of the corpus."""
